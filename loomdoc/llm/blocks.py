@@ -27,6 +27,7 @@ _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD1342543DE82EF95)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_APART = ~np.array([chr(b).isalpha() or b >= 0x80 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -92,10 +93,11 @@ class Words(Bytes):
     start, end: byte positions; doc: row of each word; first: index of each row's first word, and the end.
     """
 
-    def __init__(self, column: pa.ChunkedArray | pa.Array, lower: bool = False) -> None:
+    def __init__(self, column: pa.ChunkedArray | pa.Array, lower: bool = False, letters: bool = False) -> None:
+        """letters: words are runs of ASCII letters and bytes from \\x80 on instead."""
         super().__init__(column, lower)
         n = len(self.data)
-        solid = ~_SPACE[self.data]
+        solid = ~(_APART if letters else _SPACE)[self.data]
         begins = np.zeros(n + 1, bool)
         begins[self.offsets] = True
         before = np.zeros(n, bool)
@@ -109,11 +111,12 @@ class Words(Bytes):
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self)), self.count)
 
-    def hashes(self, slab: int = 1 << 17) -> np.ndarray:
-        """64 bits for each word: a polynomial over keyed bytes, mixed with the length."""
+    def hashes(self, slab: int = 1 << 17, prefix: int | None = None) -> np.ndarray:
+        """64 bits for each word, or for its first prefix bytes: a polynomial over keyed bytes, mixed with the length."""
         out = np.empty(len(self.start), np.uint64)
+        ends = self.end if prefix is None else np.minimum(self.end, self.start + prefix)
         for i in range(0, len(out), slab):
-            s, e = self.start[i : i + slab], self.end[i : i + slab]
+            s, e = self.start[i : i + slab], ends[i : i + slab]
             at = s[0]
             part = _BYTE[self.data[at : e[-1]]] * _power("up", _BASE, e[-1] - at)
             total = np.zeros(len(part) + 1, np.uint64)
