@@ -36,7 +36,11 @@ class JsonEncoder:
     def bounds(self, text: str) -> tuple[list[int], np.ndarray] | None:
         """ids, and where each token of text begins; then the end."""
         found = self.model.encode(text, add_special_tokens=False)
-        return found.ids, np.append(np.array([a for a, _ in found.offsets], np.int64), len(text))
+        at = np.array(found.offsets, np.int64).reshape(-1, 2)
+        begins = at[:, 0].copy()
+        begins[:1] = 0
+        begins[1:] = np.minimum(begins[1:], np.maximum(at[:-1, 1], begins[:-1]))  # a space left out of the offsets belongs to the token after it
+        return found.ids, np.append(begins, len(text))
 
     def stable(self, text: str, at: int) -> bool:
         """Nothing spans a single space between two marks other than white space, and no special string holds one."""

@@ -38,7 +38,7 @@ def spliced(coder, text: str, chunk: int, overlap: int) -> list[int]:
             if tail is None:
                 return list(coder.ids([text])[0])
             both = np.intersect1d(at[skip + 1 : -1] + begin, tail[1][1:-1] + start)[::-1]
-            joined = next((int(p) for p in both if coder.stable(text, int(p))), None)
+            joined = next((int(p) for p in both if p > start and coder.stable(text, int(p))), None)
             reach *= 2
         if joined is None:  # no alignment: this chunk grows to take in the next
             end = min(len(text), end + chunk)

@@ -4,7 +4,7 @@ Method. Voters are lexicon entries (whole words) and patterns (a word that begin
 document or stays silent. SEEDS always vote; the others are taken from labelled rows: entries whose votes are right in at least
 least_precision of at least least_support cases. A generative model (two classes, each voter firing with its own rate in either)
 is fitted by expectation maximisation to the votes alone. Voters that go together more than the classes explain are found by
-their residual correlation and grouped; a group's votes weigh as one vote, which is how the model takes in correlations. A
+their residual correlation and grouped; a group has one vote, which is how the model takes in correlations, and is fitted again. A
 logistic regression is then trained on the posteriors over votes, hits and density, and scores every whole text.
 
 Labels are used only for rows that the caller passes, at most sample_rows of them (those with the least hash of their id): the
@@ -70,10 +70,11 @@ def _counts(frames: Iterator[pa.RecordBatch], among: np.ndarray | None) -> Itera
 
 @dataclass
 class Voters:
-    """entries: sorted hashes; precision: of each, as a prior; group: voters of a group go together."""
+    """entries: sorted hashes; precision: of weight labelled votes, as a prior; group: voters of a group go together."""
 
     entries: np.ndarray
     precision: np.ndarray
+    weight: np.ndarray
     group: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def hits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,49 +90,56 @@ class Voters:
 
 @dataclass
 class LabelModel:
-    """Rates at which voters fire in each class, and the share of the class; grouped voters share one vote's weight."""
+    """Accuracy of each group's vote, the share of the class, and its share where every voter is silent."""
 
-    fires: np.ndarray  # (2, voters)
+    accuracy: np.ndarray
     share: float
-    weight: np.ndarray
+    silent: float
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        logit = np.log(self.fires[1] / self.fires[0]), np.log((1 - self.fires[1]) / (1 - self.fires[0]))
-        z = np.log(self.share / (1 - self.share)) + votes @ (self.weight * logit[0]) + (1 - votes) @ (self.weight * logit[1])
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        """A lone vote is as sure as its accuracy; each further one adds what it is surer than the share."""
+        odds = lambda x: np.log(x / (1 - x))
+        z = odds(self.share) + votes @ (odds(self.accuracy) - odds(self.share))
+        return np.where(votes.any(1), 1 / (1 + np.exp(-np.clip(z, -40, 40))), self.silent)
 
 
-def fit_label_model(votes: np.ndarray, precision: np.ndarray, rounds: int = 30, together: float = 0.35) -> tuple[LabelModel, np.ndarray]:
-    """votes: (documents, voters) of 0 and 1. Returns the model, and the group of each voter."""
-    n, k = votes.shape
-    weight = np.ones(k)
-    group = np.arange(k)
-    p = np.where(votes.any(1), (votes * precision).max(1, initial=0), 0.02)
-    model = None
-    for step in range(rounds):
-        share = float(np.clip((p.sum() + 1) / (n + 10), 0.001, 0.7))
-        pseudo = 2.0  # what the labelled precision of a voter counts for
-        fires = np.stack([((1 - p) @ votes + pseudo * (1 - precision) * 0.01) / ((1 - p).sum() + pseudo), (p @ votes + pseudo * precision * 0.05) / (p.sum() + pseudo)])
-        fires = np.clip(fires, 1e-5, 1 - 1e-5)
-        fires[0] = np.minimum(fires[0], fires[1])  # voters never speak for the other class
-        if step == rounds // 2 and k > 1:
-            expected = np.outer(p, fires[1]) + np.outer(1 - p, fires[0])
-            left = votes - expected
-            scale = np.sqrt((left**2).sum(0) + 1e-9)
-            correlation = (left.T @ left) / np.outer(scale, scale)
-            for a, b in np.argwhere(np.triu(correlation > together, 1)):
-                group[group == group[b]] = group[a]
-            size = np.bincount(group, minlength=k)[group]
-            weight = 1 / size
-        model = LabelModel(fires, share, weight)
+def _maximise(votes: np.ndarray, precision: np.ndarray, weight: np.ndarray, share: float, rounds: int) -> tuple[LabelModel, np.ndarray]:
+    """Expectation maximisation: accuracies from the posteriors of what a voter votes on, and from weight labelled votes."""
+    model = LabelModel(precision, share, share / 4)
+    p = model.posterior(votes)
+    for _ in range(rounds):
+        accuracy = np.clip((p @ votes + weight * precision) / (votes.sum(0) + weight), 0.05, 0.995)
+        silent = float(np.clip((share * len(p) - p[votes.any(1)].sum()) / max(1, (~votes.any(1)).sum()), 0.001, share / 2))
+        model = LabelModel(accuracy, share, silent)
         p = model.posterior(votes)
+    return model, p
+
+
+def fit_label_model(votes: np.ndarray, precision: np.ndarray, weight: np.ndarray, share: float, rounds: int = 20, together: float = 0.15) -> tuple[LabelModel, np.ndarray]:
+    """votes: (documents, voters) of 0 and 1; precision: of weight labelled votes each. Returns the model of the groups' votes, and the group of each voter."""
+    k = votes.shape[1]
+    group = np.arange(k)
+    _, p = _maximise(votes, precision, weight, share, rounds)
+    if k > 1 and len(votes) > 1:
+        fires = np.stack([(1 - p) @ votes / max(1e-9, (1 - p).sum()), p @ votes / max(1e-9, p.sum())])
+        left = votes - (np.outer(p, fires[1]) + np.outer(1 - p, fires[0]))
+        scale = np.sqrt((left**2).sum(0) + 1e-9)
+        correlation = (left.T @ left) / np.outer(scale, scale)
+        for a, b in np.argwhere(np.triu(correlation > together, 1)):
+            group[group == group[b]] = group[a]
+    mean = lambda x: np.array([np.average(x[group == g], weights=weight[group == g]) for g in np.unique(group)])
+    model, _ = _maximise(grouped_votes(votes > 0, group).astype(float), mean(precision), mean(weight), share, rounds)
     return model, group
 
 
+def grouped_votes(fired: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Voters that go together have one vote: that any of them fires."""
+    return np.stack([fired[:, group == g].any(1) for g in np.unique(group)], 1) if len(group) else np.zeros((len(fired), 0), bool)
+
+
 def _design(hits: np.ndarray, n_words: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Features of the classifier: a group's vote each, all hits, hits a word, and 1."""
-    groups = np.unique(group)
-    votes = np.stack([(hits[:, group == g] > 0).any(1) for g in groups], 1).astype(float) if len(groups) else np.zeros((len(hits), 0))
+    votes = grouped_votes(hits > 0, group).astype(float)
     total = hits.max(1, initial=0) if hits.shape[1] else np.zeros(len(hits))
     return np.column_stack([votes, np.log1p(total), np.minimum(1, 20 * total / np.maximum(n_words, 1)), np.ones(len(hits))])
 
@@ -162,7 +170,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(_design(hits, n_words, self.voters.group) @ self.weights, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, least_support: int = 4, least_precision: float = 0.9, most_voters: int = 256) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, least_support: int = 6, least_precision: float = 0.85, most_voters: int = 256) -> Classifier:
     """Learn from labels (doc_id, toxic) of docs (doc_id, text), from at most sample_rows of the labels."""
     spark = docs.sparkSession
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -170,21 +178,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, least_sup
     # at most sample_rows pairs of numbers
     known = spark.createDataFrame([tuple(r) for r in known.collect()], "known_id long, toxic int")
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = written(plain.join(F.broadcast(known), plain["doc_id"] == known["known_id"]).select("text", "toxic"), "labelled")
-    n_toxic = rows.where("toxic = 1").count()
-    support = max(least_support, n_toxic // 400)
+    rows = plain.join(F.broadcast(known), plain["doc_id"] == known["known_id"]).groupBy(F.xxhash64("text"), F.length("text")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = written(rows.select("text", "toxic"), "labelled")  # copies of a text count once
+    n_all, n_toxic = rows.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
+    share = min(0.5, max(0.01, n_toxic / n_all)) if n_all else 0.1
     count = lambda of, among: of.select("text").mapInArrow(lambda f: _counts(f, among), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    toxic = count(rows.where("toxic = 1"), None).where(F.col("n") >= support).orderBy(F.desc("n"), "entry").limit(20_000).collect()
+    toxic = count(rows.where("toxic = 1"), None).where(F.col("n") >= max(least_support, n_toxic // 400)).orderBy(F.desc("n"), "entry").limit(20_000).collect()
     found = {np.uint64(r["entry"] & (1 << 64) - 1): r["n"] for r in toxic}
     among = np.sort(np.array(list(found), np.uint64))
     clean = {np.uint64(r["entry"] & (1 << 64) - 1): r["n"] for r in count(rows.where("toxic = 0"), among).collect()} if len(found) else {}
-    sure = [(n / (n + clean.get(e, 0)), n, e) for e, n in found.items() if n / (n + clean.get(e, 0) + 0.1) >= least_precision]
+    # the lower end of what a voter's precision may be, so that few votes that happen to be right don't make one
+    sure = []
+    for e, n in found.items():
+        m = n + clean.get(e, 0)
+        low = (n + 0.5) / (m + 1) - 1.0 * np.sqrt((n + 0.5) * (m - n + 0.5) / (m + 1) ** 3)
+        if low >= least_precision:
+            sure.append(((n + 0.5) / (m + 1), n, e))
     sure = sorted(sure, key=lambda x: (-x[1] * x[0], int(x[2])))[:most_voters]
-    entries = {int(e): p for p, _, e in sure}
+    entries = {int(e): (p, min(n, 50.0)) for p, n, e in sure}
     for e in _seed_entries():
-        entries.setdefault(int(e), 0.8)
+        entries.setdefault(int(e), (0.9, 5.0))
     keys = np.array(sorted(entries), np.uint64)
-    voters = Voters(keys, np.array([entries[int(e)] for e in keys]))
+    voters = Voters(keys, *(np.array([entries[int(e)][i] for e in keys]) for i in (0, 1)))
 
     def vote(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -198,8 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, least_sup
     hits = np.frombuffer(b"".join(map(bytes, table["hits"])), np.uint8).reshape(len(table), len(keys)).astype(np.int32)
     n_words = table["n_words"].to_numpy(np.int64)
     votes = (hits > 0).astype(float)
-    model, voters.group = fit_label_model(votes, voters.precision)
-    x, p = _design(hits, n_words, voters.group), model.posterior(votes)
+    model, voters.group = fit_label_model(votes, voters.precision, voters.weight, share)
+    x, p = _design(hits, n_words, voters.group), model.posterior(grouped_votes(hits > 0, voters.group).astype(float))
     if not len(x):  # nothing to learn from: any seed makes a text likelier toxic than not
         weights = np.append(np.full(len(np.unique(voters.group)), 2.0), [2.0, 0.0, -3.0])
     else:
