@@ -5,8 +5,8 @@ number with share/(n + m - share) >= threshold.
 Light sets enumerate their subsets of each size c that a partner can ask for; two sets meet in a subset's list exactly if they
 share so many, so such a link needs no proof, and a list's smallest set is linked with all that its size allows.
 Heavy sets go to the inverted lists of their least shingles in hash order: all that the prefix filter asks for, but at most
-SKETCH. Shingles of the union in order are common with a chance of threshold each, so two linked sets miss each other with a
-chance of at most (1 - threshold) ** SKETCH, 1e-20 for 0.9: less than that of two 64-bit hashes being equal.
+sketch of them. Shingles of the union in order are common with a chance of threshold each, so two linked sets miss each other
+with a chance of at most (1 - threshold) ** sketch, set to 1e-20: less than that of two 64-bit hashes being equal.
 The boundary is the largest size up to which subsets cost less than lists (cost_of). Sizes near it do both.
 A list is scanned with parity bitmaps: two sets that differ in d shingles have bitmaps that differ in at most d bits, so pairs
 over the limit are no links. Of the rest a list names a spanning forest, closest pairs first; these pairs are verified with all
@@ -21,6 +21,7 @@ out. Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 from math import comb
 
@@ -33,7 +34,6 @@ from loomdoc.llm.blocks import NO_ID, Words, gram_hashes, group_count, grouped,
 from loomdoc.llm.components import components
 from loomdoc.session import written
 
-SKETCH = 20
 MOST_WORDS = 256  # of a bitmap, 64 bits each
 
 
@@ -42,6 +42,7 @@ class Limits:
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
+        self.sketch = 1 if percent >= 100 else math.ceil(-20 / math.log10(1 - percent / 100))
         self.light = max((n for n in range(1, 64) if self.cost_of(n)[0] <= self.cost_of(n)[1] and all(self.cost_of(k)[0] <= self.cost_of(k)[1] for k in range(1, n))), default=0)
 
     def shared(self, n: int, m: int) -> int:
@@ -55,7 +56,7 @@ class Limits:
         return sorted({c for m in self.partners(n) if 0 < (c := self.shared(n, m)) <= min(n, m)})
 
     def prefix(self, n: int) -> int:
-        return min(SKETCH, n - (-(-self.percent * n // 100)) + 1)
+        return min(self.sketch, n - (-(-self.percent * n // 100)) + 1)
 
     def cost_of(self, n: int) -> tuple[float, float]:
         """Of subsets: one key each. Of lists: a key each, a bitmap and the verification of a set."""

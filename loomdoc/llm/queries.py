@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.llm.blocks import crc_of_id
 from loomdoc.llm.chat import format_chats, loss_text, read_chats, turns_text
+from loomdoc.llm.context_tree import context_tree_scores
 from loomdoc.llm.decontamination import contained_items
 from loomdoc.llm.jaccard_join import jaccard_components
 from loomdoc.llm.packing import pack_documents
@@ -29,6 +30,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), min_words=13, with_text=False)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree_scores(_table(spark, sf_dir, "documents"), lambda doc_id: crc_of_id(doc_id) % 10 != 0)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -70,6 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from loomdoc.llm.blocks import Words, gram_hashes, group_count, grouped, ids_of, ordered, pack, rows_of, spans, split_by, unpack_all
 
 ANCHOR = 3
-LONGEST = 64  # words of a segment; longer ones are cut with an overlap of min_words - 1
+LONGEST = 64  # words of a segment, or three times min_words if that is more; longer ones are cut with an overlap of min_words - 1
 
 
 class FMIndex:
@@ -130,7 +130,7 @@ def _runs(words: Words, size: int) -> tuple[np.ndarray, ...]:
     new[1:] = (least[at[1:]] != least[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
     begin = np.flatnonzero(new)
     count = np.diff(begin, append=len(at))
-    most = max(1, LONGEST - size + 1)
+    most = max(1, max(LONGEST, 3 * size) - size + 1)
     pieces = -(-count // most)
     part = spans(pieces)
     begin = np.repeat(begin, pieces) + part * most
@@ -151,7 +151,7 @@ def _shard(table: pa.Table, size: int) -> list[tuple[int, bytes]]:
     begin = np.cumsum(length) - length
     # distinct segments: a hash of all their words
     with np.errstate(over="ignore"):
-        weighted = words * np.multiply.accumulate(np.full(LONGEST + 1, np.uint64(0xD6E8FEB86659FD93)))[spans(length)]
+        weighted = words * np.multiply.accumulate(np.full(int(length.max(initial=0)) + 1, np.uint64(0xD6E8FEB86659FD93)))[spans(length)]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighted)])
         content = total[begin + length] - total[begin] + length.astype(np.uint64)
     _, some, which = np.unique(content, return_index=True, return_inverse=True)

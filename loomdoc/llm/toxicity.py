@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, least_sup
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple[str, ...] = (), **options: float) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= threshold, else 0), and the columns of keep, for docs (doc_id, text)."""
     classifier = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))  # at most most_voters + len(SEEDS) numbers
-    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("__text"), *[docs[c].alias(c) for c in keep])
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].alias(c) for c in keep if c != "text"])
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
