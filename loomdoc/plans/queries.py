@@ -304,8 +304,9 @@ def type_variants(spark, sf_dir):
 
 def _types_sql(source: str) -> str:
     return rf"""WITH {source}, {_VARIANTS},
-  dd AS (SELECT id, regexp_replace(lower(text), '([^\pL\pN_])', '\1\1', 'g') AS t FROM base),
-  ct AS (SELECT id, ord, code, variant, variant_ord, len(regexp_extract_all(t, '(?:^|[^\pL\pN_])' || variant || '(?:$|[^\pL\pN_])')) AS hits FROM dd, va),
+  tk AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\pL\pN_]+(?:-[\pL\pN_]+)*')) AS t FROM base),
+  tw AS (SELECT id, t FROM tk UNION ALL SELECT id, unnest(string_split(t, '-')) FROM tk WHERE contains(t, '-')),
+  ct AS (SELECT id, ord, code, variant, variant_ord, count(*) AS hits FROM tw JOIN va ON t = variant GROUP BY ALL),
   b1 AS (SELECT *, row_number() OVER (PARTITION BY id, code ORDER BY hits DESC, variant_ord) AS r FROM ct WHERE hits > 0),
   ft AS (SELECT id, code, variant AS term, hits::INT AS hits, row_number() OVER (PARTITION BY id ORDER BY hits DESC, length(variant) DESC, ord)::INT AS place FROM b1 WHERE r = 1)"""
 
