@@ -138,17 +138,20 @@ def grouped_votes(fired: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def _design(hits: np.ndarray, n_words: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Features of the classifier: a group's vote each, all hits, hits a word, and 1."""
-    votes = grouped_votes(hits > 0, group).astype(float)
+    """Features of the classifier: whether any voter fires, a group's vote each, hits, hits a word, and 1.
+
+    The first speaks for voters that never fired on the sample, such as seeds in another corpus.
+    """
+    votes = np.column_stack([(hits > 0).any(1), grouped_votes(hits > 0, group)]).astype(float)
     total = hits.max(1, initial=0) if hits.shape[1] else np.zeros(len(hits))
     return np.column_stack([votes, np.log1p(total), np.minimum(1, 20 * total / np.maximum(n_words, 1)), np.ones(len(hits))])
 
 
-def fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression on soft targets by Newton's method."""
+def fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = 3.0, rounds: int = 25) -> np.ndarray:
+    """Ridge logistic regression on soft targets by Newton's method; the first weight and the last are all but free."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-4
+    penalty[[0, -1]] = 0.01, 1e-4
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - target) + penalty * w
@@ -216,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, least_sup
     model, voters.group = fit_label_model(votes, voters.precision, voters.weight, share)
     x, p = _design(hits, n_words, voters.group), model.posterior(grouped_votes(hits > 0, voters.group).astype(float))
     if not len(x):  # nothing to learn from: any seed makes a text likelier toxic than not
-        weights = np.append(np.full(len(np.unique(voters.group)), 2.0), [2.0, 0.0, -3.0])
+        weights = np.concatenate([[4.0], np.zeros(len(np.unique(voters.group))), [1.0, 0.0, -3.0]])
     else:
         weights = fit_logistic(x, p)
     return Classifier(voters, model, weights)
