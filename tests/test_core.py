@@ -26,7 +26,7 @@ def one(spark, f, *values):
 def test_redaction(spark):
     got = one(
         spark, T.redact, "GB29 NWBK 6016 1331 9268 19 as agreed. Ende", "GB29 NWBK 6016 1331 9268 19 2026-07-02", "Karte 4242 4242 4242 4242 Ablauf", "Karte 4242 4242 4242 4243 x", "4242424242424243",
-        "Tel +49 170 1234567", "a.b@c.org und 2024-05-06 sowie 6.5.2024", "Herr Max Muster, Lindenweg 12a", "Kundennummer: AB-1/2 für 1.234,50 €", None, "",
+        "Tel +49 170 1234567", "a.b@c.org und 2024-05-06 sowie 6.5.2024", "Herr Max Muster, Lindenweg 12a", "Kundennummer: AB-1/2 für 1.234,50 EUR", None, "",
     )
     assert got == ["[IBAN]. Ende", "[IBAN]-07-02", "Karte [KREDITKARTE]Ablauf", "Karte 4242 4242 4242 4243 x", "[NUMMER]", "Tel +49 170 1234567", "[EMAIL] und 2024-05-06 sowie 6.5.2024", "[NAME], [ADRESSE]", "[KUNDEN-/KONTONUMMER] für [BETRAG]", None, ""]
     assert one(spark, lambda c: T.redact(c, True), "Tel +49 170 1234567") == ["Tel [TELEFON]"]
