@@ -77,8 +77,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataF
             texts = [x or "" for x in frame.column(1).to_pylist()]
             for a, b in batches(texts):
                 row, start, length, crc, total = [], [], [], [], []
-                for i, found in enumerate(coder.ids(texts[a:b]), a):
-                    ids = np.array([*found, end_id], "<u4")
+                for i, found in enumerate(coder.packed(texts[a:b]), a):
+                    ids = np.append(found, np.array([end_id], "<u4"))
                     for at in range(0, len(ids), size):
                         part = ids[at : at + size]
                         row.append(i)

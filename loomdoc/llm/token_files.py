@@ -31,7 +31,7 @@ MAGIC = b"LDTOK01\n"
 SHARD_BYTES = 4 << 20
 
 
-def serialize(ids: list[int], wide: bool) -> bytes:
+def serialize(ids: np.ndarray | list[int], wide: bool) -> bytes:
     return np.asarray(ids, "<u4" if wide else "<u2").tobytes()
 
 
@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str |
         for frame in batch:
             texts = [x or "" for x in frame.column("text").to_pylist()]
             for a, b in batches(texts):
-                found = [[*x, end_id] for x in coder.ids(texts[a:b])]
+                found = [np.append(x, np.array([end_id], "<u4")) for x in coder.packed(texts[a:b])]
                 frames = [writer.compress(serialize(x, wide)) for x in found]
                 yield pa.RecordBatch.from_arrays([frame.column("doc_id")[a:b], frame.column("tie")[a:b], pa.array([len(x) for x in found], pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "tie", "n", "frame"])
 
