@@ -111,8 +111,12 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str |
     spark = docs.sparkSession
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     wide = encoder(vocabulary).size > 1 << 16
-    sample = plain.where(F.length("text") <= sample_chars).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs)
-    texts = [r.text for r in sample.select("text").collect()]
+    # ids and hashes first: a task sends sample_docs pairs of numbers to the driver, not texts
+    marked = plain.where(F.length("text") <= sample_chars).withColumn("h", F.xxhash64("text"))
+    chosen = marked.select("doc_id", "h").orderBy(F.xxhash64("doc_id"), "h").limit(sample_docs).distinct().collect()
+    picked = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, h long"))
+    sample = marked.join(picked, (marked["doc_id"].eqNullSafe(picked["doc_id"])) & (marked["h"] == picked["h"])).groupBy(marked["doc_id"], marked["h"]).agg(F.max("text").alias("text"))
+    texts = [r["text"] for r in sample.orderBy(F.xxhash64("doc_id"), "h").select("text").collect()]
     dictionary = dictionary_of([serialize([*x, end_id], wide) for x in encoder(vocabulary).ids(texts)], dictionary_bytes)
     sha = hashlib.sha256(dictionary).digest()
 
