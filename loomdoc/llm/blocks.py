@@ -144,17 +144,17 @@ def spans(counts: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - counts, counts)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes: their number, then dtype, length and bytes of each; lightly compressed."""
+def as_bytes(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: their number, then dtype, length and bytes of each."""
     parts = [bytes([len(arrays)])]
     for a in arrays:
         a = np.ascontiguousarray(a)
         parts += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), a.tobytes()]
-    return zlib.compress(b"".join(parts), 1)
+    return b"".join(parts)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw, out, at = zlib.decompress(blob), [], 1
+def as_arrays(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 1
     for _ in range(raw[0]):
         kind, n = np.dtype(raw[at : at + 4].decode().strip()), int.from_bytes(raw[at + 4 : at + 12], "little")
         out.append(np.frombuffer(raw, kind, n, at + 12))
@@ -162,6 +162,15 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, lightly compressed."""
+    return zlib.compress(as_bytes(*arrays), 1)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    return as_arrays(zlib.decompress(blob))
+
+
 def unpack_all(column: pa.ChunkedArray) -> list[np.ndarray]:
     """The arrays of all rows, joined place by place."""
     rows = [unpack(x.as_py()) for x in column]

@@ -22,17 +22,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.blocks import Bytes, Words, group_count, mix, ordered, pack, rows_of, split_by, unpack
+from loomdoc.llm.blocks import Bytes, Words, as_arrays, as_bytes, group_count, mix, ordered, rows_of, split_by
 from loomdoc.session import written
 
 END = 0xFF  # in no UTF-8 text: ends a text, and stands before its first byte
 GRAM, WORD = 0, 1
 LN10 = np.log(10)
 UNIT = 1_000_000  # probabilities travel as whole millionths of their log10
-GROUP_BYTES = 8 << 20  # the more texts a group has, the fewer keys it names for each byte
+GROUP_BYTES = 6 << 20  # the more texts a group has, the fewer keys it names for each byte
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -172,6 +173,14 @@ ANSWER = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("b", pa.int32()),
 _NAMED, _COUNTED, _ANSWER = "kind int, b int, g int, blob binary", "shard int, blob binary", "g int, kind int, b int, blob binary"
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(as_bytes(*arrays), 3)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    return as_arrays(zstandard.decompress(blob))
+
+
 def _planes(x: np.ndarray) -> np.ndarray:
     """Bytes of the same place side by side, which compress better."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).ravel()
@@ -221,20 +230,26 @@ class Group:
                 yield a, words, words.hashes(), words.doc
             else:
                 gram, sizes = grams_of(words, self.depth)
-                yield a, words, gram, np.repeat(np.arange(b - a), sizes)
+                yield a, words, gram, np.repeat(np.arange(b - a, dtype=np.int32), sizes)
 
-    def distinct(self, kind: int, counts: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys in order, and with counts how often training texts have each."""
-        found, taught = [], []
+    def counted(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and how often training texts have each."""
+        found, count = [], []
         for a, _, keys, row in self.keys(kind):
-            found.append(np.unique(keys))
-            if counts:
-                taught.append(np.unique(keys[self.lesson[a + row]], return_counts=True))
-        every = np.unique(np.concatenate(found))
-        total = np.zeros(len(every), np.int64)
-        for key, n in taught:
-            total[np.searchsorted(every, key)] += n
-        return every, total
+            of = self.lesson[a + row]
+            key, n = np.unique(keys[of], return_counts=True)
+            found += [key, np.unique(keys[~of])]
+            count += [n, np.zeros(len(found[-1]), np.int64)]
+        every, back = np.unique(np.concatenate(found), return_inverse=True)
+        return every, np.bincount(back, np.concatenate(count), len(every)).astype(np.int64)
+
+    def placed(self, kind: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+        """Distinct keys in order; and for each slab its first row, distinct keys, which of them each key is, rows, and keys of each row."""
+        slabs = []
+        for a, words, keys, row in self.keys(kind):
+            found, back = np.unique(keys, return_inverse=True)
+            slabs.append((a, found, back.astype(np.int32), row.astype(np.int32), words.count if kind == WORD else np.diff(words.offsets) + 1))
+        return np.unique(np.concatenate([x[1] for x in slabs])), slabs
 
     def parts(self, keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
         return split_by((mix(keys) % np.uint64(self.buckets)).astype(np.int64))
@@ -253,7 +268,7 @@ def context_tree_scores(docs: DataFrame, teaches: Callable[[Column], Column], de
         group = Group(table, depth, buckets)
         g, out = table["g"][0].as_py(), []
         for kind in (GRAM, WORD):
-            keys, counts = group.distinct(kind, True)
+            keys, counts = group.counted(kind)
             out += [(kind, b, g, pack(_keys_out(keys[x]), _planes(counts[x]))) for b, x in group.parts(keys)]
         return rows_of(NAMED, out)
 
@@ -309,17 +324,17 @@ def context_tree_scores(docs: DataFrame, teaches: Callable[[Column], Column], de
         scores, sizes, count = np.zeros(n), np.ones(n, np.int64), np.zeros(n, np.int64)
         bases, known = np.full(n, np.log10((lessons + 0.1) / unit)), np.full(n, int(lessons > 0), np.int64)
         for kind in (GRAM, WORD):
-            every, _ = group.distinct(kind, False)
+            every, slabs = group.placed(kind)
             value = np.zeros(len(every), np.int64)
             for b, x in group.parts(every):
                 value[x] = got.pop((kind, b))
-            for a, words, keys, row in group.keys(kind):
-                each, m = value[np.searchsorted(every, keys)], len(words)
+            for a, found, back, row, many in slabs:  # values of sorted keys, then by place: no search in a large table for each byte
+                each, m = value[np.searchsorted(every, found)][back], len(many)
                 if kind == GRAM:
                     scores[a : a + m] = -np.bincount(row, each, m) / UNIT
-                    sizes[a : a + m] = np.diff(words.offsets) + 1
+                    sizes[a : a + m] = many
                 else:
-                    count[a : a + m] = words.count
+                    count[a : a + m] = many
                     bases[a : a + m] += np.bincount(row, np.log10((each + 0.1) / unit), m)
                     known[a : a + m] += np.bincount(row, each > 0, m).astype(np.int64)
         table = group.table
