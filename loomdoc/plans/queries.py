@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,7 +91,9 @@ def folder_base_names(spark, sf_dir):
 
 @_query("near_duplicates")
 def near_duplicates(spark, sf_dir):
-    found, _ = dedupe.near_duplicates(view(spark, sf_dir, "files_v").select("path", "hash", "mtime", "text"))
+    found, warned = dedupe.near_duplicates(view(spark, sf_dir, "files_v").select("path", "hash", "mtime", "text"))
+    for said in warned:
+        warnings.warn(said, stacklevel=2)
     return found.select("ext", "leader", _joined("files"))
 
 

@@ -79,6 +79,24 @@ def test_near_duplicates(spark):
     assert dedupe.near_duplicates(files, most=2)[0].count() == 0 and dedupe.near_duplicates(files, most=2)[1]
 
 
+def test_near_duplicates_scaled_is_exact(spark):
+    """A group of over 200 near copies, short texts, and texts over 200 characters, where the matcher leaves out frequent characters."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(r.randint(2, 9))) for _ in range(60)]
+    said = lambda n: " ".join(r.choice(words) for _ in range(n))
+    base, longer = said(16), said(60)
+    texts = [base[:i] + r.choice("xyz#") + base[i + 1 :] + str(j) for j in range(230) for i in [r.randrange(len(base))]]
+    texts += [longer[:i] + said(2) + longer[i + 9 :] for i in range(0, 300, 12)] + [said(n) for n in range(1, 60)] + ["abc", "abcd", "abcde", "abcdef", "Abcdef", "a b c d", "\U0001f600" * 9, "\U0001f600" * 8]
+    files = spark.createDataFrame([(f"d/{i}.{'md' if i % 40 == 0 else 'txt'}", str(i), 1, t) for i, t in enumerate(texts)], "path string, hash string, mtime long, text string")
+    rows = [(x["ext"], x["path_a"], x["path_b"], x["ratio"]) for x in dedupe.near_duplicates_scaled(files).collect()]
+    by = sorted((f"d/{i}.{'md' if i % 40 == 0 else 'txt'}", t) for i, t in enumerate(texts))
+    want = {(os.path.splitext(a)[1], a, b, q) for x, (a, s) in enumerate(by) for b, t in by[x + 1 :] if a.split(".")[1] == b.split(".")[1] and (q := SequenceMatcher(None, s, t).ratio()) >= 0.85}
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 20_000
+    some = sorted(texts[200:290], key=len)
+    pairs = {(a, b) for a, b, _ in dedupe.block_pairs((list(map(str, range(90))),) * 2, (some,) * 2, 0.85, True)}
+    assert pairs == {(a, b) for i in range(90) for j in range(90) if (a := str(i)) < (b := str(j)) and SequenceMatcher(None, some[i], some[j]).ratio() >= 0.85}
+
+
 def test_leaders_are_not_transitive(spark):
     edges = spark.createDataFrame([(".txt", "a", "b", 0.9), (".txt", "b", "c", 0.9), (".txt", "c", "d", 0.9)], "ext string, path_a string, path_b string, ratio double")
     assert sorted(tuple(r["files"]) for r in dedupe.leader_groups(edges).collect()) == [("a", "b"), ("c", "d")]
