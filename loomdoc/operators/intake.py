@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdoc.functions.names import basename, dirname, is_state_file, is_under, junk_reason
+from loomdoc.operators.components import components
 from loomdoc.operators.dedupe import known_hashes, newest
+from loomdoc.session import written
 
 MOST_PASSES = 3
 
@@ -98,12 +100,27 @@ def redundancy_passes(files: DataFrame, quarantine: str, most: int = MOST_PASSES
 def undo_plan(log: DataFrame, exists: DataFrame) -> DataFrame:
     """seq, alt, neu, aktion, status for the rows of a log, to be undone from the last seq on.
 
-    The state of the file system is the paths of exists, changed by the steps that are planned before. One log is one sequence of
-    steps that each depend on the ones before, so it is folded in one group.
+    The state of the file system is the paths of exists, changed by the steps that are planned before. A step reads and changes only
+    its own two paths, so steps depend on each other only through paths they share: each chain (component of shared paths) is folded
+    by itself. Steps of one chain depend on the ones before and meet in one task; steps that share no path are no fold at all.
     """
-    steps = log.select(F.lit(0).alias("k"), "seq", "alt", "neu", "aktion")
+    rows = log.select("seq", "alt", "neu", "aktion")
+    node = lambda c: F.xxhash64(c)  # noqa: E731 - equal hashes only join two chains, which changes no status
+    ends = rows.select(F.explode(F.array_distinct(F.array("alt", "neu"))).alias("p"))
+    shared = ends.groupBy("p").agg(F.count("*").alias("n")).where("n > 1").select("p")
+    touches = rows.join(shared.select(F.col("p").alias("alt"), F.lit(True).alias("a")), "alt", "left").join(shared.select(F.col("p").alias("neu"), F.lit(True).alias("b")), "neu", "left")
+    steps = written(touches.select("seq", "alt", "neu", "aktion", (F.col("a").isNotNull() | F.col("b").isNotNull()).alias("chained")), "steps")
     there = exists.select(F.col("path").alias("p")).distinct()
-    named = log.select(F.explode(F.array("alt", "neu")).alias("p")).distinct().join(there, "p", "left_semi").select(F.lit(0).alias("k"), "p")
+
+    has = lambda c: there.select(F.col("p").alias(c), F.lit(True).alias(f"has_{c}"))
+    alone = steps.where("not chained").join(has("alt"), "alt", "left").join(has("neu"), "neu", "left")
+    status = F.when(F.col("alt").eqNullSafe(F.col("neu")), F.lit("identisch")).when(F.col("has_neu").isNull(), F.lit("quelle_fehlt")).when(F.col("has_alt").isNotNull(), F.lit("ziel_belegt")).otherwise(F.lit("bereit"))
+    alone = alone.select("seq", "alt", "neu", "aktion", status.alias("status"))
+
+    chained = steps.where("chained")
+    part = components(chained.select(node("alt").alias("a"), node("neu").alias("b")))
+    chained = chained.withColumn("node", node("alt")).join(part, "node", "left").select(F.coalesce("component", "node").alias("k"), "seq", "alt", "neu", "aktion")
+    named = chained.select("k", F.explode(F.array("alt", "neu")).alias("p")).distinct().join(there, "p", "left_semi").select(F.col("k").alias("j"), "p")
 
     def fold(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         there, out = set(found["p"]), []
@@ -121,7 +138,8 @@ def undo_plan(log: DataFrame, exists: DataFrame) -> DataFrame:
             out.append((r.seq, r.alt, r.neu, r.aktion, status))
         return pd.DataFrame(out, columns=["seq", "alt", "neu", "aktion", "status"])
 
-    return steps.groupBy("k").cogroup(named.groupBy("k")).applyInPandas(fold, "seq long, alt string, neu string, aktion string, status string")
+    folded = chained.groupBy("k").cogroup(named.groupBy("j")).applyInPandas(fold, "seq long, alt string, neu string, aktion string, status string")
+    return alone.unionByName(folded)
 
 
 def tail(plan: DataFrame, n: int) -> DataFrame:

@@ -207,7 +207,7 @@ def redundancy_moves(spark, sf_dir):
 
 @_query("undo_plan")
 def undo_plan(spark, sf_dir):
-    files = view(spark, sf_dir, "files_v").where("doc_id % 5 = 0")
+    files = view(spark, sf_dir, "files_v")
     log = files.select(F.col("doc_id").alias("seq"), F.concat(F.lit("alt/"), F.col("path")).alias("alt"), F.col("path").alias("neu"), F.lit("verschoben").alias("aktion"))
     return intake.undo_plan(log, files.where("doc_id % 10 = 0").select("path"))
 

@@ -116,6 +116,23 @@ def test_undo_chain(spark):
     assert [r["seq"] for r in intake.tail(plan, 2).collect()] == [5, 4]
 
 
+def test_undo_folds_each_chain_by_itself(spark, sf):
+    """Against the fold over the whole log, with chains, paths used again and again, and steps that share no path."""
+    r = random.Random(11)
+    log = [(i, f"n{r.randrange(60)}", f"n{r.randrange(60)}", "m") for i in range(40)] + [(40 + i, f"a{i}", r.choice([f"a{i}", f"b{i}"]), "m") for i in range(60)]
+    log += [(100 + i, f"c{i}", f"c{i + 1}", "m") for i in range(12)]
+    exists = {"c12", *(f"n{i}" for i in range(0, 60, 2)), *(f"b{i}" for i in range(0, 60, 2)), *(f"a{i}" for i in range(0, 60, 3))}
+    there, want = set(exists), {}
+    for seq, alt, neu, _ in sorted(log, reverse=True):
+        want[seq] = "identisch" if alt == neu else "quelle_fehlt" if neu not in there else "ziel_belegt" if alt in there else "bereit"
+        if want[seq] == "bereit":
+            there = (there - {neu}) | {alt}
+    plan = intake.undo_plan(spark.createDataFrame(log, "seq long, alt string, neu string, aktion string"), spark.createDataFrame([(x,) for x in exists], "path string"))
+    got = plan.collect()
+    assert len(got) == len(log) and {x["seq"]: x["status"] for x in got} == want and len(set(want.values())) == 4
+    assert QUERIES["undo_plan"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_redundancy(spark):
     files = spark.createDataFrame([("a", "h", 1), ("b", "h", 3), ("c", "h", 3), ("bin/d", "h", 9), ("e", "k", 1)], "path string, hash string, mtime long")
     moves, left, stable = intake.redundancy_passes(files, "bin")
