@@ -89,6 +89,17 @@ def folder_base_names(spark, sf_dir):
     return view(spark, sf_dir, "folders_v").select("folder", N.folder_base(F.col("folder")).alias("base")).distinct()
 
 
+@_query("subset_folders_whole")
+def subset_folders_whole(spark, sf_dir):
+    """Over every row of lineitem; subset_folders and its SQL see orders 1 to 200."""
+    return dedupe.folder_relations(view(spark, sf_dir, "all_folders_v"))
+
+
+@_query("folder_base_names_whole", r"SELECT DISTINCT folder, nullif(lower(trim(regexp_replace(folder, '(?i)\s*(?:\(\d+\)|\d+|copy|kopie)\s*$', ''))), '') AS base FROM all_folders_v")
+def folder_base_names_whole(spark, sf_dir):
+    return view(spark, sf_dir, "all_folders_v").select("folder", N.folder_base(F.col("folder")).alias("base")).distinct()
+
+
 @_query("near_duplicates")
 def near_duplicates(spark, sf_dir):
     found, warned = dedupe.near_duplicates(view(spark, sf_dir, "files_v").select("path", "hash", "mtime", "text"))

@@ -108,6 +108,25 @@ def test_folders(spark):
     assert got == {("identical", "x", "z", None), ("a_in_b", "y (2)", "x", "y"), ("a_in_b", "y (2)", "z", "y")}
 
 
+def test_folders_of_the_whole_table(spark, sf):
+    """Against brute force, with classes of equal folders and a hash that all folders have."""
+    r = random.Random(7)
+    sets = {f"f{i}": {0, *(r.randrange(1, 9) for _ in range(r.randint(0, 4)))} for i in range(80)}
+    got = [tuple(x) for x in dedupe.folder_relations(spark.createDataFrame([(f, h) for f, hs in sets.items() for h in hs], "folder string, hash long")).select("relation", "folder_a", "folder_b").collect()]
+    want = {("identical" if s == t else "a_in_b", a, b) for a, s in sets.items() for b, t in sets.items() if (s == t and a < b) or s < t}
+    assert len(got) == len(set(got)) and set(got) == want
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    held, having = {}, {}
+    for k, p in lines:
+        held.setdefault(k, set()).add(p)
+        having.setdefault(p, set()).add(k)
+    want = {("identical" if held[a] == held[b] else "a_in_b", a, b) for a, s in held.items() for b in having[min(s)] if s <= held[b] and a != b}
+    got = QUERIES["subset_folders_whole"](spark, sf).selectExpr("relation", "cast(split(folder_a, ' ')[1] as bigint) a", "cast(split(folder_b, ' ')[1] as bigint) b").collect()
+    key = lambda rel, a, b: (rel, *(sorted((a, b)) if rel == "identical" else (a, b)))
+    assert len(got) == len({tuple(x) for x in got}) and {key(*x) for x in got} == {key(*x) for x in want} and max(a for _, a, _ in want) > 200
+    assert QUERIES["folder_base_names_whole"](spark, sf).count() == len(held)
+
+
 def test_undo_chain(spark):
     log = spark.createDataFrame([(1, "a", "b", "m"), (2, "b", "c", "m"), (3, "p", "q", "m"), (4, "s", "s", "m"), (5, "t", "u", "m")], "seq long, alt string, neu string, aktion string")
     exists = spark.createDataFrame([("c",), ("t",), ("u",)], "path string")
