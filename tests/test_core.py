@@ -12,6 +12,7 @@ from loomdoc.functions import names as N
 from loomdoc.functions import text as T
 from loomdoc.operators import dedupe, filing, intake, metadata, scoring
 from loomdoc.plans.queries import ORACLE_SQL, QUERIES
+from loomdoc.plans.views import view
 from loomdoc.sources import state
 from loomdoc.sources.filetree import file_tree
 from loomdoc.sources.readers import file_texts, int_option
@@ -32,6 +33,31 @@ def test_redaction(spark):
     assert one(spark, lambda c: T.redact(c, True), "Tel +49 170 1234567") == ["Tel [TELEFON]"]
 
 
+def test_cards_of_all_letters(spark, sf):
+    """Against Python's expressions and a check digit of its own, over every kind of letter and over random runs."""
+    def valid(run):
+        d = [int(x) for x in run if x.isdigit()][::-1]
+        return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+    cards = lambda text: re.sub(T.CARD.replace("(?U)", ""), lambda m: "[KREDITKARTE]" if valid(m[0]) else m[0], text)
+    letters = {x["id"]: x["text"] for x in view(spark, sf, "letters_v").select("id", "text").collect()}
+    got = {x["id"]: x["text"] for x in QUERIES["redact_cards_whole"](spark, sf).collect()}
+    assert got == {i: cards(t) for i, t in letters.items()} and {i % 6 for i in got} == set(range(6))
+    r = random.Random(13)
+    texts = [" x ".join("".join(r.choice("0123456789") + r.choice(["", "", "", " ", "-"]) for _ in range(r.randint(11, 22))) for _ in range(4)) for _ in range(200)]
+    assert one(spark, T.redact_cards, *texts) == [cards(x) for x in texts] and any("[KREDITKARTE]" in cards(x) for x in texts)
+
+
+def test_targets_of_all_names(spark, sf):
+    rows = view(spark, sf, "names_v").select("path", "size").collect()
+    junk = lambda n, size: size == 0 or n == ".DS_Store" or n.startswith("~$") or n.endswith(".crdownload")
+    want = {x["path"] for x in rows if not junk(n := x["path"].split("/")[-1], x["size"]) and not n.startswith(".para-")}
+    got = {x["path"]: x["target"] for x in QUERIES["target_names_whole"](spark, sf).collect()}
+    assert set(got) == want and want
+    end = lambda p: "2024-05-06_Screenshot_was.png" if "/Screenshot" in p else None if p.endswith((".jpg", ".dmg")) else "2024-05-06_RG_was.txt"
+    assert got == {p: end(p) for p in want}
+
+
 def test_letter_spacing_matches_the_greedy_scan(spark):
     r = random.Random(1)
     given = ["".join(r.choice("ab  ä\n") for _ in range(r.randint(0, 25))) for _ in range(400)]
