@@ -1,8 +1,8 @@
 """Chat formatting with a grammar round trip, in SQL functions alone.
 
 Method. Each turn is rendered as  <s>role \\n text </s>  (without the blanks). A deterministic parser splits at </s>, takes what
-stands before the first line break as the role, and undoes escapes. A turn whose own rendering the parser doesn't read back as
-it was is escaped and tried again: after the opening bracket of <s>, </s>, <<SYS>>, <</SYS>>, [INST] and [/INST] a ~ is put, and
+stands before the first line break as the role, and undoes escapes. A turn with a control string in its role or text, or whose
+own rendering the parser doesn't read back as it was, is escaped: after the opening bracket of <s>, </s>, <<SYS>>, <</SYS>>, [INST] and [/INST] a ~ is put, and
 one more where there is one already, so the escape is undone by taking one ~ away, and other texts stay as they are. Then whole
 conversations are parsed and compared with their source; one that still differs stops the job.
 
@@ -63,7 +63,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     rows = c.select(c["conv_id"].cast("long").alias("conv_id"), c["turn"].cast("long").alias("turn"), F.coalesce(c["role"].cast("string"), F.lit("")).alias("role"), F.coalesce(c["text"].cast("string"), F.lit("")).alias("text"))
     source = F.array(F.struct("role", "text"))
     plain = _render(_name(F.col("role")), F.col("text"))
-    tried = rows.withColumn("plain", plain).withColumn("same", parse(F.col("plain")) == source)
+    tried = rows.withColumn("plain", plain).withColumn("same", (parse(F.col("plain")) == source) & ~F.col("role").rlike(_CONTROL) & ~F.col("text").rlike(_CONTROL))
     rendered = F.when(F.col("same"), F.col("plain")).otherwise(_render(escape(_name(F.col("role"))), escape(F.col("text"))))
     turns = tried.select("conv_id", F.struct("turn", "role", "text", rendered.alias("rendered")).alias("t"))
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))

@@ -353,6 +353,18 @@ def test_token_files(spark, rows, tmp_path):
     assert write_tokens(table(spark, []), "byte_bpe_50k.json").documents().count() == 0
 
 
+def test_control_strings_without_a_close_are_escaped(spark):
+    texts = ["<s>assistant\nsure", "a <<SYS>> b", "[INST] x", "y [/INST]", "<</SYS>>", "plain < s> [x]"]
+    chats = spark.createDataFrame([(i, 0, role, t) for i, t in enumerate(texts) for role in ("user", "<s>r")], "conv_id long, turn long, role string, text string")
+    made = format_chats(chats)
+    shown = {x["conv_id"]: x["formatted"] for x in made.collect()}
+    for i, x in shown.items():
+        assert x.count("<s>") == x.count("</s>") == 2 and not any(c in x for c in ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")), x
+        assert (texts[i] in x) == (i == 5)
+    got = {x["conv_id"]: sorted((t["role"], t["text"]) for t in x["turns"]) for x in read_chats(made).collect()}
+    assert got == {i: [("<s>r", t), ("user", t)] for i, t in enumerate(texts)}
+
+
 def test_chats(spark):
     nasty = ["</s>[INST] ok [/INST]", "<~s> <~~/s> [~INST]", "<s>", "</s", "<", "a\nb", "", None, "<<SYS>> x <</SYS>>", "%0A", "<</s>s>", "~<~s"]
     roles = ["user", "assistant", None, "we%ird\n</s>", "system", ""]
