@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions import names as N
 from loomdoc.functions import text as T
 from loomdoc.operators import dedupe, filing, intake, metadata, scoring
+from loomdoc.operators.moves import apply_moves, apply_undo
 from loomdoc.plans.queries import ORACLE_SQL, QUERIES
 from loomdoc.plans.views import view
 from loomdoc.sources import state
@@ -178,6 +179,22 @@ def test_undo_folds_each_chain_by_itself(spark, sf):
     assert QUERIES["undo_plan"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_moves_are_carried_out_and_undone(spark, tmp_path):
+    at = lambda *p: str(tmp_path.joinpath(*p))
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_text(name)
+    moves = spark.createDataFrame([(1, at("a"), at("bin", "a")), (1, at("b"), at("c")), (1, at("no"), at("bin", "no"))], "pass int, path string, target string")
+    want = [None, "target is taken", "source is missing"]
+    assert [e for *_, e in apply_moves(moves)] == want and sorted(os.listdir(tmp_path)) == ["a", "b", "c"]
+    assert [e for *_, e in apply_moves(moves, apply=True)] == want and (tmp_path / "bin" / "a").read_text() == "a" and (tmp_path / "c").read_text() == "c" and not (tmp_path / "a").exists()
+    log = spark.createDataFrame([(1, at("a"), at("x"), "m"), (2, at("x"), at("bin", "a"), "m")], "seq long, alt string, neu string, aktion string")
+    plan = intake.undo_plan(log, spark.createDataFrame([(at("bin", "a"),), (at("b"),), (at("c"),)], "path string"))
+    assert [e for *_, e in apply_undo(plan)] == [None, None] and not (tmp_path / "a").exists()
+    assert [e for *_, e in apply_undo(plan, apply=True)] == [None, None] and (tmp_path / "a").read_text() == "a" and not (tmp_path / "bin" / "a").exists()
+    (tmp_path / "bin" / "a").write_text("new")
+    assert [e for *_, e in apply_undo(plan, apply=True)] == [None, "target is taken"] and (tmp_path / "a").read_text() == "a"
+
+
 def test_redundancy(spark):
     files = spark.createDataFrame([("a", "h", 1), ("b", "h", 3), ("c", "h", 3), ("bin/d", "h", 9), ("e", "k", 1)], "path string, hash string, mtime long")
     moves, left, stable = intake.redundancy_passes(files, "bin")
