@@ -25,8 +25,8 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD1342543DE82EF95)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _APART = ~np.array([chr(b).isalpha() or b >= 0x80 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -69,6 +69,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, slab: int = 1 << 17) -> np.ndarray:
+    """64 bits for the bytes from start to end, in order of start: a polynomial over keyed bytes, mixed with the length."""
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(out), slab):
+        s, e = start[i : i + slab], end[i : i + slab]
+        at = s[0]
+        part = _BYTE[data[at : e[-1]]] * _power("up", _BASE, e[-1] - at)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=total[1:])
+        poly = (total[e - at] - total[s - at]) * _power("down", _UNBASE, e[-1] - at)[s - at]
+        out[i : i + slab] = mix(poly + (e - s).astype(np.uint64) * _STEP)
+    return out
+
+
+def slabs_of(column: pa.ChunkedArray | pa.Array, size: int = 2 << 20) -> list[tuple[int, int]]:
+    """Rows (from, to) of about so many bytes of a string column."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.diff(total // size)) + 1
+    return [(int(a), int(b)) for a, b in zip([0, *cut], [*cut, len(column)], strict=True) if b > a]
+
+
 class Bytes:
     """The UTF-8 bytes of a string column, one after the other; null is empty."""
 
@@ -97,7 +118,7 @@ class Words(Bytes):
         """letters: words are runs of ASCII letters and bytes from \\x80 on instead."""
         super().__init__(column, lower)
         n = len(self.data)
-        solid = ~(_APART if letters else _SPACE)[self.data]
+        solid = ~(_APART if letters else SPACE)[self.data]
         begins = np.zeros(n + 1, bool)
         begins[self.offsets] = True
         before = np.zeros(n, bool)
@@ -112,18 +133,8 @@ class Words(Bytes):
         self.doc = np.repeat(np.arange(len(self)), self.count)
 
     def hashes(self, slab: int = 1 << 17, prefix: int | None = None) -> np.ndarray:
-        """64 bits for each word, or for its first prefix bytes: a polynomial over keyed bytes, mixed with the length."""
-        out = np.empty(len(self.start), np.uint64)
-        ends = self.end if prefix is None else np.minimum(self.end, self.start + prefix)
-        for i in range(0, len(out), slab):
-            s, e = self.start[i : i + slab], ends[i : i + slab]
-            at = s[0]
-            part = _BYTE[self.data[at : e[-1]]] * _power("up", _BASE, e[-1] - at)
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(part, out=total[1:])
-            poly = (total[e - at] - total[s - at]) * _power("down", _UNBASE, e[-1] - at)[s - at]
-            out[i : i + slab] = mix(poly + (e - s).astype(np.uint64) * _STEP)
-        return out
+        """64 bits for each word, or for its first prefix bytes."""
+        return span_hashes(self.data, self.start, self.end if prefix is None else np.minimum(self.end, self.start + prefix), slab)
 
     def words(self, row: int) -> list[bytes]:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes().split()

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.llm.encoders import batches, encoder
+from loomdoc.llm.blocks import slabs_of, spans
+from loomdoc.llm.encoders import encoder
 from loomdoc.session import plan_bytes, written
 
 PIECE = "doc_id long, tie long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -73,21 +74,16 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataF
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         for frame in frames:
-            doc_ids, ties = frame.column(0), frame.column(2)
-            texts = [x or "" for x in frame.column(1).to_pylist()]
-            for a, b in batches(texts):
-                row, start, length, crc, total = [], [], [], [], []
-                for i, found in enumerate(coder.packed(texts[a:b]), a):
-                    ids = np.append(found, np.array([end_id], "<u4"))
-                    for at in range(0, len(ids), size):
-                        part = ids[at : at + size]
-                        row.append(i)
-                        start.append(at)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        total.append(len(ids))
-                rows = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([doc_ids.take(rows), ties.take(rows), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]], ["doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens"])
+            for a, b in slabs_of(frame.column(1)):
+                ids, first = coder.flat(frame.column(1)[a:b], end_id)
+                total = np.diff(first)
+                pieces = -(-total // size)
+                row, start = np.repeat(np.arange(b - a), pieces), spans(pieces) * size
+                length = np.minimum(size, total[row] - start)
+                at, data = first[row] + start, memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(data[4 * x : 4 * (x + n)]) for x, n in zip(at.tolist(), length.tolist(), strict=True)]
+                rows = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([frame.column(0).take(rows), frame.column(2).take(rows), *[pa.array(x, pa.int64()) for x in (start, length, crc, total[row])]], ["doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens"])
 
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return plain.withColumn("tie", F.xxhash64("text")).mapInArrow(cut, PIECE)

@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.encoders import batches, encoder
+from loomdoc.llm.blocks import slabs_of
+from loomdoc.llm.encoders import encoder
 from loomdoc.session import new_folder, plan_bytes, written
 
 MAGIC = b"LDTOK01\n"
@@ -123,11 +124,12 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str |
     def encode(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, writer = encoder(vocabulary), zstandard.ZstdCompressor(level=level, dict_data=as_dictionary(dictionary))
         for frame in batch:
-            texts = [x or "" for x in frame.column("text").to_pylist()]
-            for a, b in batches(texts):
-                found = [np.append(x, np.array([end_id], "<u4")) for x in coder.packed(texts[a:b])]
-                frames = [writer.compress(serialize(x, wide)) for x in found]
-                yield pa.RecordBatch.from_arrays([frame.column("doc_id")[a:b], frame.column("tie")[a:b], pa.array([len(x) for x in found], pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "tie", "n", "frame"])
+            for a, b in slabs_of(frame.column("text")):
+                ids, first = coder.flat(frame.column("text")[a:b], end_id)
+                data = memoryview(ids.astype("<u4" if wide else "<u2")).cast("B")
+                at = (first * (4 if wide else 2)).tolist()
+                frames = [writer.compress(data[x:y]) for x, y in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([frame.column("doc_id")[a:b], frame.column("tie")[a:b], pa.array(np.diff(first)), pa.array(frames, pa.binary())], ["doc_id", "tie", "n", "frame"])
 
     def shards(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, total, before = TaskContext.get().partitionId(), 0, 0, 0

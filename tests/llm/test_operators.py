@@ -9,11 +9,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from loomdoc.llm import blocks
+from loomdoc.llm import blocks, encoders
 from loomdoc.llm.chat import format_chats, loss_text, read_chats, turns_text
 from loomdoc.llm.components import components
 from loomdoc.llm.context_tree import context_tree_scores
@@ -71,8 +72,6 @@ def key(i):
 
 
 def test_word_arrays():
-    import pyarrow as pa
-
     given = ["a bc", None, "", " x\tyy \n z", "ä ö", "q" * 300_000 + " end"]
     w = blocks.Words(pa.array(given))
     assert w.count.tolist() == [2, 0, 0, 3, 2, 2]
@@ -328,9 +327,27 @@ def test_token_counts(spark, rows, name):
 
 def test_memoised_ids(rows):
     model = encoder("byte_bpe_50k.json")
-    given = [t or "" for _, t in rows + ODD] + ["nb sp a", "a\r\nb c", "Ġ x ▁y Ġ Ġ", "don't we'll 123 45,6 --- a", "a\x1c b"]
+    given = [t or "" for _, t in rows + ODD] + ["nb sp a", "a\r\nb c", "Ġ x ▁y Ġ Ġ", "don't we'll 123 45,6 --- a", "a\x1c b", "a \u00a0b", "end \n", "\n\n x\t y \r\n", " ", "  two", "tab\tq \t r", "é è\u2003z"]
     for _ in range(2):
-        assert all(list(a) == b for a, b in zip(model.packed(given), model.ids(given)))
+        ids, first = model.flat(pa.array(given))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == model.ids(given)
+        ended, place = model.flat(pa.array([*given, None]), 7)
+        assert [ended[a:b].tolist() for a, b in zip(place, place[1:])] == [[*x, 7] for x in [*model.ids(given), []]]
+    encoders.MEMO, most = 50, encoders.MEMO  # parts are forgotten between texts
+    try:
+        for x in given:
+            assert model.flat(pa.array([x]))[0].tolist() == model.ids([x])[0]
+    finally:
+        encoders.MEMO = most
+
+
+def test_parts_give_the_librarys_ids_on_whole_tables():
+    import duckdb
+
+    model = encoder("byte_bpe_50k.json")
+    column = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").arrow().read_all()["text"].combine_chunks()
+    ids, first = model.flat(column)
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == model.ids([x or "" for x in column.to_pylist()])
 
 
 def test_token_files(spark, rows, tmp_path):
