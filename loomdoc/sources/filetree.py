@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, DataSourceStreamReader
 
 # Fixed values.
 NEVER_ENTERED = {".git", "node_modules", "__pycache__", ".venv", "venv"}
@@ -56,6 +57,18 @@ def walk(root: str, prune: bool, with_hash: bool, top: bool = True) -> Iterator[
         yield from walk(os.path.join(root, name), prune, with_hash, False)
 
 
+def paths_of(root: str, prune: bool, top: bool = True) -> Iterator[str]:
+    """The files of walk, by path alone; projects are left out without a row."""
+    try:
+        files, folders, skipped = _listed(root, top, prune)
+    except OSError:  # gone, or not to be read, since its parent was listed
+        return
+    if not skipped:
+        yield from (os.path.join(root, x) for x in files)
+        for name in folders:
+            yield from paths_of(os.path.join(root, name), prune, False)
+
+
 class _Part(InputPartition):
     def __init__(self, root: str, top: bool) -> None:
         self.root, self.top = root, top
@@ -80,37 +93,74 @@ class _Reader(DataSourceReader):
             yield from walk(partition.root, self.prune, self.hash, False)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """New and changed files since the last offset, by mtime and path."""
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
 
-    def __init__(self, options: dict[str, str]) -> None:
-        self.inner = _Reader(options)
 
-    def initialOffset(self) -> dict:
-        return {"at": ""}
+class _StreamReader(DataSourceStreamReader):
+    """Files that are new, or whose size or mtime changed, whatever their mtime is. The driver lists with stat alone; files are hashed in
+    the tasks. What a trigger found is kept in the folder seen as one file, which the offset counts, so that a batch can run again.
 
-    def _since(self, start: str, end: str | None) -> list[tuple[str, tuple]]:
-        found = []
-        for row in walk(self.inner.root, self.inner.prune, self.inner.hash):
-            if row[4] is not None:
-                mark = f"{row[4].timestamp():020.6f} {row[0]}"
-                if mark > start and (end is None or mark <= end):
-                    found.append((mark, row))
-        return sorted(found, key=lambda x: x[0])
+    The driver holds 16 bytes for each file of the tree.
+    """
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        found = self._since(start["at"], None)
-        return iter([r for _, r in found]), {"at": found[-1][0] if found else start["at"]}
+    def __init__(self, options: dict[str, str]) -> None:
+        if "seen" not in options:
+            raise ValueError("the option seen is missing: a folder, outside of path, that lists what was found")
+        self.inner, self.seen, self.files = _Reader(options), options["seen"], int(options.get("filespertask", "256"))
+        self.known: set[bytes] = set()
+        self.loaded = 0
+        os.makedirs(self.seen, exist_ok=True)
+
+    def _list(self, number: int) -> str:
+        return os.path.join(self.seen, f"{number:09d}.json")
+
+    def _found(self, number: int) -> list[list]:
+        with open(self._list(number)) as f:
+            return json.load(f)
+
+    @staticmethod
+    def _mark(path: str, size: int | None, mtime: int | None) -> bytes:
+        return hashlib.blake2b(f"{size} {mtime} {path}".encode("utf-8", "surrogateescape"), digest_size=16).digest()
+
+    def _stats(self) -> Iterator[tuple[str, int | None, int | None]]:
+        for path in paths_of(self.inner.root, self.inner.prune):
+            try:
+                about = os.stat(path)
+                yield path, about.st_size, about.st_mtime_ns
+            except OSError:  # the task reports it
+                yield path, None, None
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for _, r in self._since(start["at"], end["at"])])
+    def initialOffset(self) -> dict:
+        return {"lists": 0}
+
+    def latestOffset(self) -> dict:
+        while os.path.exists(self._list(self.loaded)):  # of this run or of one before
+            self.known.update(self._mark(*x) for x in self._found(self.loaded))
+            self.loaded += 1
+        fresh = [x for x in self._stats() if self._mark(*x) not in self.known]
+        if fresh:
+            with open(self._list(self.loaded) + ".part", "w") as f:
+                json.dump(fresh, f)
+            os.replace(self._list(self.loaded) + ".part", self._list(self.loaded))
+            self.known.update(self._mark(*x) for x in fresh)
+            self.loaded += 1
+        return {"lists": self.loaded}
+
+    def partitions(self, start: dict, end: dict) -> list[_Files]:
+        paths = list(dict.fromkeys(x[0] for n in range(start["lists"], end["lists"]) for x in self._found(n)))
+        return [_Files(paths[i : i + self.files]) for i in range(0, len(paths), self.files)]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        return (_row(x, self.inner.hash) for x in partition.paths)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class FileTree(DataSource):
-    """format("file_tree"): options path, skipProjects (true), hash (true)."""
+    """format("file_tree"): options path, skipProjects (true), hash (true); of streams also seen (a folder) and filesPerTask (256)."""
 
     @classmethod
     def name(cls) -> str:
@@ -122,7 +172,7 @@ class FileTree(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> _StreamReader:
+    def streamReader(self, schema) -> _StreamReader:
         return _StreamReader(self.options)
 
 
