@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
+#: Used only by a local master that names no folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/loomdoc"
 
 
@@ -30,12 +30,15 @@ def get_spark(cores: str = "8", shuffle_partitions: int = 8, **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder; a local one only for a
+    local master. A cluster without any is an error, as its machines share no folder that could be guessed."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = LOCAL_SHARED
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -54,11 +57,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write df as Parquet to the shared folder, in folders by columns, and read it back: cuts the lineage and survives lost executors."""
     path = new_folder(df.sparkSession, label)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
