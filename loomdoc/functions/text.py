@@ -5,6 +5,8 @@ Patterns carry (?U), so classes and word edges are Unicode's, and (?d) where onl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ NO_SENDER = "ABSENDER-PRUEFEN"
 SHORT_TOKEN_SHARE, LEAST_TOKENS = 0.35, 20
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits has a valid check digit."""
     each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.try_to_number(c, F.lit("9")).cast("int") * (1 + i % 2))
@@ -46,14 +53,13 @@ def luhn(digits: Column) -> Column:
 
 def redact_cards(text: Column) -> Column:
     """Runs of 13 to 19 digits with a valid check digit; other runs stay. What lies between runs is kept as it is."""
-    runs = F.regexp_extract_all(text, F.lit(CARD), F.lit(0))
-    between = F.split(text, CARD, -1)
 
     def one(before: Column, run: Column) -> Column:
         digits = F.regexp_replace(run, r"\D", "")
         return F.concat(before, F.when(run.isNull(), F.lit("")).when(luhn(digits), F.lit("[KREDITKARTE]")).otherwise(run))
 
-    return F.when(F.size(runs) > 0, F.array_join(F.zip_with(between, runs, one), "")).otherwise(text)
+    joined = lambda t, runs: F.when(F.size(runs) > 0, F.array_join(F.zip_with(F.split(t, CARD, -1), runs, one), "")).otherwise(t)
+    return let(text, lambda t: let(F.regexp_extract_all(t, F.lit(CARD), F.lit(0)), lambda runs: joined(t, runs)))
 
 
 def redact(text: Column, mended_phone: bool = False) -> Column:
@@ -105,8 +111,7 @@ def variants(label: Column) -> Column:
 
 def leaks(text: Column, forbidden: Column) -> Column:
     """The forbidden strings that are still there after redaction."""
-    cleaned = redact(text)
-    return F.filter(forbidden, lambda v: F.contains(cleaned, v))
+    return let(redact(text), lambda cleaned: F.filter(forbidden, lambda v: F.contains(cleaned, v)))
 
 
 def placeholders(text: Column) -> Column:

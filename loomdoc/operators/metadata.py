@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.functions import text as T
@@ -14,40 +16,68 @@ def type_variants(types: DataFrame) -> DataFrame:
     return types.select("ord", "code", F.posexplode(T.variants(F.col("label"))).alias("variant_ord", "variant"))
 
 
-def document_types_found(texts: DataFrame, types: DataFrame) -> DataFrame:
-    """id, code, term, hits, place: types whose term a text has as a whole word, the best first.
+def types_in(text: Column, types: DataFrame) -> Column:
+    """The types (code, term, hits) whose term a text has as a whole word, the best first, as an array.
 
-    Of a type its most frequent term counts, the first on ties; types go by hits, length of the term, order in the table.
+    Of a type its most frequent term counts, the first on ties; types go by hits, length of the term, order in the table. The table
+    is a few dozen rows and becomes part of the expression: terms of one word are found in one scan, others each by itself.
     """
-    terms = F.broadcast(type_variants(types))  # the fixed table of types
-    pattern = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.col("variant"), F.lit(r"\E(?!\w)"))
-    counted = texts.select("id", "text").join(terms).withColumn("hits", F.regexp_count("text", pattern)).where("hits > 0").drop("text")
-    best = Window.partitionBy("id", "code").orderBy(F.desc("hits"), "variant_ord")
-    one = counted.withColumn("rank", F.row_number().over(best)).where("rank = 1")
-    order = Window.partitionBy("id").orderBy(F.desc("hits"), F.desc(F.char_length("variant")), "ord")
-    return one.select("id", "code", F.col("variant").alias("term"), F.col("hits").cast("int").alias("hits"), F.row_number().over(order).alias("place"))
+    table: dict[tuple[int, str], list[str]] = {}
+    for r in sorted(type_variants(types).collect()):
+        table.setdefault((r["ord"], r["code"]), []).append(r["variant"])
+    words = sorted({v for vs in table.values() for v in vs if re.fullmatch(r"\w+", v)}, key=lambda v: (-len(v), v))
+    whole = lambda v: rf"(?iU)(?<!\w)(?:{v})(?!\w)"
+    quoted = lambda v: rf"\Q{v}\E"
+
+    def ranked(text: Column, found: Column) -> Column:
+        hits = lambda v: F.size(F.filter(found, lambda m: m.rlike(rf"(?iU)^{quoted(v)}$"))) if v in words else F.regexp_count(text, F.lit(whole(quoted(v))))
+
+        def best(place: int, code: str, variants: list[str]) -> Column:
+            one = [F.struct(hits(v).cast("int").alias("hits"), F.lit(-i).alias("i"), F.lit(v).alias("term")) for i, v in enumerate(variants)]
+            row = lambda x: F.struct((-x["hits"]).alias("hits"), (-F.char_length(x["term"])).alias("length"), F.lit(place).alias("ord"), F.lit(code).alias("code"), x["term"].alias("term"))
+            return T.let(F.array_max(F.array(*one)), row)
+
+        some = F.filter(F.array(*[best(*of, variants) for of, variants in table.items()]), lambda x: x["hits"] < 0)
+        return F.transform(F.array_sort(some), lambda x: F.struct(x["code"].alias("code"), x["term"].alias("term"), (-x["hits"]).alias("hits")))
+
+    none = F.array().cast("array<struct<code:string,term:string,hits:int>>")
+    if not table:
+        return none
+    scan = lambda t: F.regexp_extract_all(t, F.lit(whole("|".join(map(quoted, words)))), F.lit(0)) if words else F.array().cast("array<string>")
+    alone = any(v not in words for vs in table.values() for v in vs)
+    return T.let(text, lambda t: T.let(scan(t), lambda found: F.when((F.size(found) > 0) | F.lit(alone), ranked(t, found)).otherwise(none)))
+
+
+def document_types_found(texts: DataFrame, types: DataFrame) -> DataFrame:
+    """id, code, term, hits, place: a row for each type of a text, in order."""
+    found = texts.select("id", F.posexplode(types_in(F.col("text"), types)).alias("pos", "t"))
+    return found.select("id", "t.code", "t.term", "t.hits", (F.col("pos") + 1).alias("place"))
 
 
 def best_types(texts: DataFrame, types: DataFrame) -> DataFrame:
     """id, code, term, alternatives (array of code, term, hits in order); only texts with a type."""
-    found = document_types_found(texts, types)
-    every = F.array_sort(F.collect_list(F.struct("place", "code", "term", "hits")))
-    others = F.transform(F.slice("a", 2, 1000), lambda x: F.struct(x["code"].alias("code"), x["term"].alias("term"), x["hits"].alias("hits")))
-    return found.groupBy("id").agg(every.alias("a")).select("id", F.col("a")[0]["code"].alias("code"), F.col("a")[0]["term"].alias("term"), others.alias("alternatives"))
+    found = texts.select("id", F.inline(F.array(F.struct(types_in(F.col("text"), types).alias("a"))))).where(F.size("a") > 0)
+    return found.select("id", F.col("a")[0]["code"].alias("code"), F.col("a")[0]["term"].alias("term"), F.slice("a", F.lit(2), F.size("a")).alias("alternatives"))
+
+
+def _held(df: DataFrame, *columns: Column) -> DataFrame:
+    """df with columns, each worked out once a row: the optimizer doesn't copy expressions through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def analyze(texts: DataFrame, types: DataFrame) -> DataFrame:
     """id, confidence, date, code, term, alternatives, sender, file_name, snippet, warning of texts (id, ext, text).
 
-    Empty and garbled texts stop with a warning and without a snippet; everything else is read from the redacted text.
+    Empty and garbled texts stop with a warning and without a snippet; everything else is read from the redacted text, which is
+    made once. A row in, a row out: no shuffle.
     """
-    t = texts.select("id", "ext", T.collapse_letter_spacing(F.col("text")).alias("text"))
-    empty = F.coalesce(F.trim("text"), F.lit("")) == ""
-    stop = F.when(empty, F.lit("empty")).when(T.is_garbled(F.col("text")), F.lit("garbled"))
-    judged = t.withColumn("stop", stop)
-    red = judged.select("id", "ext", "stop", F.when(F.col("stop").isNull(), T.redact(F.col("text"))).alias("text"))
-    found = best_types(red.where("stop is null").select("id", "text"), types)
-    full = red.join(found, "id", "left").withColumn("date", T.find_date(F.col("text"))).withColumn("sender", T.sender_hint(F.col("text")))
+    t = _held(texts.select("id", "ext", F.col("text").alias("raw")), T.collapse_letter_spacing(F.col("raw")).alias("plain"))
+    empty = F.coalesce(F.trim("plain"), F.lit("")) == ""
+    stop = F.when(empty, F.lit("empty")).when(T.is_garbled(F.col("plain")), F.lit("garbled"))
+    judged = _held(t.select("id", "ext", "plain"), stop.alias("stop"))
+    red = _held(judged, F.when(F.col("stop").isNull(), T.redact(F.col("plain"))).alias("text")).drop("plain")
+    full = _held(red, T.find_date(F.col("text")).alias("date"), T.sender_hint(F.col("text")).alias("sender"), types_in(F.col("text"), types).alias("types"))
+    full = full.withColumn("code", F.get("types", F.lit(0))["code"]).withColumn("term", F.get("types", F.lit(0))["term"]).withColumn("alternatives", F.when(F.size("types") > 0, F.slice("types", F.lit(2), F.size("types"))))
     high = F.col("date").isNotNull() & F.col("code").isNotNull()
     listed = F.array_join(F.transform("alternatives", lambda a: F.concat(a["code"], F.lit(" ("), a["term"], F.lit("×"), a["hits"].cast("string"), F.lit(")"))), ", ")
     return full.select(
@@ -77,7 +107,7 @@ def analyze_images(images: DataFrame, types: DataFrame) -> DataFrame:
     return read.unionByName(refused)
 
 
-def exif_date(tags: F.Column) -> F.Column:
+def exif_date(tags: Column) -> Column:
     """The first of an array of EXIF values that reads as Y:M:D, as YYYY-MM-DD."""
     dates = F.transform(tags, lambda t: F.regexp_replace(F.nullif(F.regexp_extract(t, r"^\s*(\d{4}:\d{2}:\d{2})", 1), F.lit("")), ":", "-"))
     return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
