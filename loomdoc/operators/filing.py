@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.functions.names import INSTALLER_TYPES, PHOTO_TYPES, basename, depth_of, dirname, extension, is_id_document, is_under, junk_reason
-
-HOME_FOLDER = r"^(\d+)(?:[_-]|\. )(\S.*)$"
+from loomdoc.functions.names import INSTALLER_TYPES, PHOTO_TYPES, basename, depth_of, dirname, extension, is_id_document, junk_reason
+from loomdoc.session import plan_bytes, written
 
 
 def target_name(kind: Column, date: Column, code: Column, what: Column, path: Column, fallback_date: Column) -> Column:
@@ -53,16 +52,20 @@ def too_deep(files: DataFrame, closed: DataFrame | None = None, most: int = 3) -
     """path, depth of files over most folder levels; folders of closed (folder) are units and count once."""
     if closed is None:
         return files.select("path", depth_of(F.col("path")).alias("depth")).where(F.col("depth") > most)
-    within = files.join(F.broadcast(closed), is_under(F.col("path"), F.col("folder")), "left").groupBy("path").agg(F.min(F.char_length("folder")).alias("n"))
+    held = _prefixes(files).join(closed.select("folder").distinct(), "folder").groupBy("path").agg(F.min(F.char_length("folder")).alias("n"))
     unit = F.when(F.col("n").isNotNull(), F.substr("path", F.lit(1), F.col("n"))).otherwise(F.col("path"))
-    return within.select("path", depth_of(unit).alias("depth")).where(F.col("depth") > most)
+    return files.select("path").distinct().join(held, "path", "left").select("path", depth_of(unit).alias("depth")).where(F.col("depth") > most)
 
 
-def without(files: DataFrame, excluded: DataFrame) -> DataFrame:
-    """files that lie in no folder of excluded (folder), by the prefixes of their paths: an equi-join, not a scan of all pairs."""
+def _prefixes(files: DataFrame) -> DataFrame:
+    """path, folder: each file with itself and every folder above it, so that folders are found by an equi-join, not a scan of all pairs."""
     parts = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    held = files.select("path", F.explode(prefixes).alias("folder")).join(excluded.select("folder").distinct(), "folder").select("path").distinct()
+    return files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("folder"))
+
+
+def without(files: DataFrame, excluded: DataFrame) -> DataFrame:
+    """files that lie in no folder of excluded (folder)."""
+    held = _prefixes(files).join(excluded.select("folder").distinct(), "folder").select("path").distinct()
     return files.join(held, "path", "left_anti")
 
 
@@ -73,9 +76,16 @@ def home_scheme(folders: DataFrame) -> DataFrame:
 
 
 def batches(files: DataFrame, size: int = 50) -> DataFrame:
-    """path, batch: in order of type, size and mtime, size files a batch. Types are ranked apart, so that no task sorts all files."""
-    typed = files.withColumn("ext", extension(F.col("path")))
-    before = Window.orderBy("ext").rowsBetween(Window.unboundedPreceding, -1)
-    starts = typed.groupBy("ext").agg(F.count("*").alias("n")).select("ext", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("ext").orderBy("size", "mtime", "path"))
-    return typed.withColumn("rank", rank).join(starts, "ext").select("path", F.floor((F.col("base") + F.col("rank") - 1) / size).cast("long").alias("batch"))
+    """path, batch: in order of type, size and mtime, size files a batch.
+
+    Files are dealt by ranges of that order and ranked within their range, so that no task sorts all files, whatever they have in
+    common; only the number of files of each range meets in one place.
+    """
+    order = ("ext", "size", "mtime", "path")
+    ranges = max(8, min(1 << 14, plan_bytes(files) // (64 << 20)))
+    # the id of a row is its partition, shifted, and its place there
+    dealt = files.withColumn("ext", extension(F.col("path"))).select(*order).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = written(dealt.withColumn("id", F.monotonically_increasing_id()), "ranges").select("path", F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND((1 << 33) - 1).alias("place"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return placed.join(F.broadcast(starts), "range").select("path", F.floor((F.col("base") + F.col("place")) / size).cast("long").alias("batch"))  # at most 1 << 14 rows

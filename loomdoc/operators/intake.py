@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.functions.names import basename, dirname, is_state_file, is_under, junk_reason
+from loomdoc.functions.names import basename, is_state_file, is_under, junk_reason
 from loomdoc.operators.components import components
-from loomdoc.operators.dedupe import known_hashes, newest
+from loomdoc.operators.dedupe import SALTS, known_hashes, newest
 from loomdoc.session import written
 
 MOST_PASSES = 3
@@ -22,20 +22,22 @@ def manifest_check(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def manifest_record(files: DataFrame, manifest: DataFrame, action: str = "verschoben") -> DataFrame:
     """hash, path, name, action to append: files that the manifest doesn't have, the first path of each hash."""
-    first = F.row_number().over(Window.partitionBy("hash").orderBy("path"))
-    fresh = files.select("path", "hash").join(manifest.select("hash").distinct(), "hash", "left_anti").withColumn("rank", first).where("rank = 1")
+    fresh = files.groupBy("hash").agg(F.min("path").alias("path")).join(manifest.select("hash").distinct(), "hash", "left_anti")
     return fresh.select("hash", "path", basename(F.col("path")).alias("name"), F.lit(action).alias("action"))
 
 
 def triage(files: DataFrame, manifest: DataFrame, queue: DataFrame, home: DataFrame, quarantine: str | None = None) -> DataFrame:
-    """path, hash, size, verdict, reason, hits for each file; a null hash is a file that couldn't be read.
+    """path, hash, size, verdict, reason, n_hits, first_hit for each file; a null hash is a file that couldn't be read.
 
     In this order: state (left alone), unreadable, manifest, junk, queue, then duplicate (home has it) or content; of several new
-    files with one hash the first path is queued and the others are 'queue'.
+    files with one hash the first path is queued and the others are 'queue'. What is known of a hash is one row, and so is the first
+    path of a new one; files join them by hash and salt, so that a hash which many files have is nobody's alone.
     """
     quarantined = is_under(F.col("path"), F.lit(quarantine)) if quarantine else F.lit(False)
     known = lambda df, name: df.select("hash").distinct().withColumn(name, F.lit(True))
-    f = files.join(known(manifest, "in_manifest"), "hash", "left").join(known(queue, "in_queue"), "hash", "left").join(known_hashes(home), "hash", "left")
+    seen = files.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n_files"))
+    about = seen.join(known(manifest, "in_manifest"), "hash", "left").join(known(queue, "in_queue"), "hash", "left").join(known_hashes(home), "hash", "left")
+    f = salted(files, about)
     reason = junk_reason(F.col("path"), F.col("size"))
     verdict = (
         F.when(quarantined | is_state_file(F.col("path")), F.lit("state"))
@@ -43,15 +45,21 @@ def triage(files: DataFrame, manifest: DataFrame, queue: DataFrame, home: DataFr
         .when(F.col("in_manifest"), F.lit("manifest"))
         .when(reason.isNotNull(), F.lit("junk"))
         .when(F.col("in_queue"), F.lit("queue"))
-        .when(F.col("hits").isNotNull(), F.lit("duplicate"))
+        .when(F.col("n_hits").isNotNull(), F.lit("duplicate"))
         .otherwise(F.lit("content"))
     )
     judged = f.withColumn("verdict", verdict)
     fresh = F.col("verdict").isin("duplicate", "content")
-    again = F.row_number().over(Window.partitionBy("hash", fresh).orderBy("path")) > 1
-    ranked = judged.withColumn("verdict", F.when(fresh & again, F.lit("queue")).otherwise(F.col("verdict")))
+    first = judged.where(fresh).groupBy("hash").agg(F.min("path").alias("first_path"))
+    ranked = salted(judged, first).withColumn("verdict", F.when(fresh & (F.col("path") != F.col("first_path")), F.lit("queue")).otherwise(F.col("verdict")))
     kept = F.col("verdict") == "duplicate"
-    return ranked.select("path", "hash", "size", "verdict", F.when(F.col("verdict") == "junk", reason).alias("reason"), F.when(kept, F.col("hits")).alias("hits"))
+    return ranked.select("path", "hash", "size", "verdict", F.when(F.col("verdict") == "junk", reason).alias("reason"), F.when(kept, F.col("n_hits")).alias("n_hits"), F.when(kept, F.col("first_hit")).alias("first_hit"))
+
+
+def salted(files: DataFrame, about: DataFrame) -> DataFrame:
+    """files with the columns of about, a row for each hash, or nulls; many files of one hash, or of none, are split by salts."""
+    dealt = files.withColumn("__salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    return dealt.join(about.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["hash", "__salt"], "left").drop("__salt")
 
 
 def free_names(moves: DataFrame, taken: DataFrame, style: str = " ({n})") -> DataFrame:
@@ -145,7 +153,3 @@ def undo_plan(log: DataFrame, exists: DataFrame) -> DataFrame:
 def tail(plan: DataFrame, n: int) -> DataFrame:
     """The last n rows of the log; to be taken after planning over all."""
     return plan.orderBy(F.desc("seq")).limit(n)
-
-
-def folder(path: Column) -> Column:
-    return dirname(path)
