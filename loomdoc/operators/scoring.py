@@ -12,7 +12,7 @@ THRESHOLDS = (
     ("bereits_im_ziel_erkannt", 1.00, False), ("triage_klassifikation", 0.95, False), ("trigger_precision", 0.90, False), ("trigger_recall", 0.90, False),
     ("para_kategorie_korrekt", 0.75, False),
 )
-CATEGORIES = ("Projekte", "Bereiche", "Ressourcen", "Archiv")
+CATEGORIES = ("Projects", "Areas", "Resources", "Archives")
 # File names in German and in English.
 FILE_NAMES = (
     ("projekt-brief.md", "project-brief.md"), ("architektur.md", "architecture.md"), ("tech-stack.md", "tech-stack.md"), ("coding-standards.md", "coding-standards.md"),
@@ -20,6 +20,7 @@ FILE_NAMES = (
     ("datenmodell.md", "data-model.md"), ("design-system.md", "design-system.md"), ("deployment.md", "deployment.md"), ("ki-integration.md", "ai-integration.md"),
 )
 ALWAYS_FILES = ("projekt-brief", "architektur", "tech-stack", "coding-standards", "testing", "automatisierung", "sicherheit")
+INSTANT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 WEIGHTS = (("maintenance", 0.25), ("community", 0.25), ("docs", 0.20), ("maturity", 0.20), ("fit", 0.10))
 
 
@@ -58,10 +59,10 @@ def repo_metrics(repos: DataFrame, releases: DataFrame, asof: Column, sample: in
     """
     w = Window.partitionBy("repo").orderBy(F.desc_nulls_first("published_at"))
     recent = releases.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= sample)
-    found = recent.groupBy("repo").agg(F.count_if(F.col("published_at") > asof - F.expr("INTERVAL 365 DAYS")).alias("releases_last_year"), F.max(F.when(F.col("rank") == 1, F.date_format("published_at", "yyyy-MM-dd"))).alias("last_release"))
+    found = recent.groupBy("repo").agg(F.count_if(F.col("published_at") > asof - F.expr("INTERVAL 365 DAYS")).alias("releases_last_year"), F.max(F.when(F.col("rank") == 1, F.date_format("published_at", INSTANT))).alias("last_release"))
     density = F.bround(F.col("open_issues") / F.nullif("stars", F.lit(0)) * 1000, 1)
     pages = F.coalesce(F.nullif(F.regexp_extract("link", r'[?&]page=(\d+)>; rel="last"', 1), F.lit("")).cast("int"), F.lit(1))
-    return repos.join(found, "repo", "left").select("repo", "stars", F.date_format("pushed_at", "yyyy-MM-dd").alias("last_commit"), "archived", "open_issues", density.alias("issues_per_1k_stars"), F.coalesce("releases_last_year", F.lit(0)).alias("releases_last_year"), "last_release", pages.alias("contributors_approx"))
+    return repos.join(found, "repo", "left").select("repo", "stars", F.date_format("pushed_at", INSTANT).alias("last_commit"), "archived", "open_issues", density.alias("issues_per_1k_stars"), F.coalesce("releases_last_year", F.lit(0)).alias("releases_last_year"), "last_release", pages.alias("contributors_approx"))
 
 
 def iso_time(value: Column) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 PDF_PAGES, DOCX_PARAGRAPHS, HTTP_SECONDS = 3, 60, 15
 PLAIN = (".txt", ".md")
+PAGES_SETTING, PARAGRAPHS_SETTING, OCR_SETTING, OCR_LANGUAGE = "PARA_PDF_MAX_PAGES", "PARA_DOCX_MAX_PARAGRAPHS", "PARA_OCR_LANG", "deu+eng"
+EXIF_TAGS = ("EXIF DateTimeOriginal", "EXIF DateTimeDigitized", "Image DateTime")
 
 
 def int_option(value: str | None, default: int) -> int:
@@ -47,9 +49,12 @@ def _docx(path: str, paragraphs: int | None) -> str:
     return "\n".join(p.text for p in docx.Document(path).paragraphs[:paragraphs])
 
 
-def file_texts(files: DataFrame, pages: int | None = PDF_PAGES, paragraphs: int | None = DOCX_PARAGRAPHS, warn_unknown: bool = True) -> DataFrame:
+def file_texts(files: DataFrame, pages: int | None = 0, paragraphs: int | None = 0, warn_unknown: bool = True) -> DataFrame:
     """path, text, warning of files (path, ext). Plain texts as UTF-8 without broken bytes; pdf and docx if their library is there,
-    the first pages or paragraphs (None: all); other types null, with a warning if warn_unknown."""
+    the first pages or paragraphs (0: as the environment says, else 3 and 60; None: all); other types null, with a warning if
+    warn_unknown."""
+    pages = int_env(PAGES_SETTING, PDF_PAGES) if pages == 0 else pages
+    paragraphs = int_env(PARAGRAPHS_SETTING, DOCX_PARAGRAPHS) if paragraphs == 0 else paragraphs
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -76,6 +81,38 @@ def file_texts(files: DataFrame, pages: int | None = PDF_PAGES, paragraphs: int
     return files.select("path", "ext").mapInPandas(read, "path string, text string, warning string")
 
 
+def image_facts(files: DataFrame, ocr: bool = False) -> DataFrame:
+    """path, tags (EXIF dates, in order), text, warning of images (path). Text is read only with ocr; both need libraries that may be missing."""
+    language = os.environ.get(OCR_SETTING, OCR_LANGUAGE)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        missing = {x: importlib.util.find_spec(x) is None for x in ("exifread", "PIL", "pytesseract")}
+        for pdf in frames:
+            out = []
+            for path in pdf["path"]:
+                tags, text = [], None
+                warning = "; ".join(f"{x} is missing" for x, gone in missing.items() if gone and (ocr or x == "exifread")) or None
+                try:
+                    if not missing["exifread"]:
+                        import exifread
+
+                        with open(path, "rb") as f:
+                            found = exifread.process_file(f, details=False)
+                        tags = [str(found[t]) for t in EXIF_TAGS if t in found]
+                    if ocr and not missing["PIL"] and not missing["pytesseract"]:
+                        import pytesseract
+                        from PIL import Image
+
+                        with Image.open(path) as image:
+                            text = pytesseract.image_to_string(image, lang=language)
+                except Exception as e:  # a broken image is a warning, whatever its library raises
+                    warning = str(e)
+                out.append((path, tags, text, warning))
+            yield pd.DataFrame(out, columns=["path", "tags", "text", "warning"])
+
+    return files.select("path").mapInPandas(read, "path string, tags array<string>, text string, warning string")
+
+
 class RateLimited(Exception):
     pass
 
