@@ -39,10 +39,10 @@ def _joined(c: str) -> F.Column:
 # --- copies, membership, folders -----------------------------------------------------------------------------------------------
 
 
-@_query("exact_duplicates", f"""SELECT hash, string_agg(path, '|' ORDER BY path) AS files, count(*)::BIGINT AS n_files, arg_min(path, ({_MARKED}, mtime, path)) AS keep
-  FROM files_v GROUP BY hash HAVING count(*) > 1""")
+@_query("exact_duplicates", f"""WITH g AS (SELECT hash, count(*)::BIGINT AS n_files, arg_min(path, ({_MARKED}, mtime, path)) AS keep FROM files_v GROUP BY hash HAVING count(*) > 1)
+  SELECT f.hash, path, n_files, keep FROM files_v f JOIN g ON f.hash = g.hash""")
 def exact_duplicates(spark, sf_dir):
-    return dedupe.exact_groups(view(spark, sf_dir, "files_v")).select("hash", _joined("files"), "n_files", "keep")
+    return dedupe.exact_groups(view(spark, sf_dir, "files_v"))
 
 
 @_query("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -61,22 +61,14 @@ def newest_copy(spark, sf_dir):
     return dedupe.newest(view(spark, sf_dir, "files_v"))
 
 
-@_query("known_hashes", "SELECT hash, string_agg(path, '|' ORDER BY path) AS hits FROM (SELECT hash, path FROM home_v UNION ALL SELECT hash, path FROM src_v) GROUP BY hash")
+@_query("known_hashes", "SELECT hash, count(*)::BIGINT AS n_hits, min(path) AS first_hit FROM (SELECT hash, path FROM home_v UNION ALL SELECT hash, path FROM src_v) GROUP BY hash")
 def known_hashes(spark, sf_dir):
-    return dedupe.known_hashes(view(spark, sf_dir, "home_v"), view(spark, sf_dir, "src_v")).select("hash", _joined("hits"))
+    return dedupe.known_hashes(view(spark, sf_dir, "home_v"), view(spark, sf_dir, "src_v"))
 
 
-@_query("already_in_target", "SELECT s.path, s.hash, h.hits FROM src_v s JOIN (SELECT hash, string_agg(path, '|' ORDER BY path) AS hits FROM home_v GROUP BY hash) h ON s.hash = h.hash")
+@_query("already_in_target", "SELECT s.path, s.hash, h.n_hits, h.first_hit FROM src_v s JOIN (SELECT hash, count(*)::BIGINT AS n_hits, min(path) AS first_hit FROM home_v GROUP BY hash) h ON s.hash = h.hash")
 def already_in_target(spark, sf_dir):
-    return dedupe.already_in_target(view(spark, sf_dir, "src_v"), view(spark, sf_dir, "home_v")).select("path", "hash", _joined("hits"))
-
-
-@_query("subset_folders", r"""WITH s AS (SELECT folder, list_sort(list(DISTINCT hash)) AS h FROM folders_v GROUP BY folder)
-  SELECT CASE WHEN a.h = b.h THEN 'identical' ELSE 'a_in_b' END AS relation, a.folder AS folder_a, b.folder AS folder_b,
-  CASE WHEN a.h <> b.h THEN nullif(lower(trim(regexp_replace(a.folder, '(?i)\s*(?:\(\d+\)|\d+|copy|kopie)\s*$', ''))), '') END AS base
-  FROM s a JOIN s b ON a.folder <> b.folder AND ((a.h = b.h AND a.folder < b.folder) OR (len(a.h) < len(b.h) AND list_has_all(b.h, a.h)))""")
-def subset_folders(spark, sf_dir):
-    return dedupe.folder_relations(view(spark, sf_dir, "folders_v"))
+    return dedupe.already_in_target(view(spark, sf_dir, "src_v"), view(spark, sf_dir, "home_v"))
 
 
 @_query("top_folders", "SELECT split_part(path, '/', 1) AS folder, count(DISTINCT hash)::BIGINT AS n FROM files_v WHERE contains(path, '/') GROUP BY 1")
@@ -84,22 +76,17 @@ def top_folders(spark, sf_dir):
     return dedupe.top_folder(view(spark, sf_dir, "files_v")).groupBy("folder").agg(F.countDistinct("hash").alias("n"))
 
 
+@_query("subset_folders")
+def subset_folders(spark, sf_dir):
+    """Without SQL, which would compare all pairs of folders; held against brute force."""
+    return dedupe.folder_relations(view(spark, sf_dir, "folders_v"))
+
+
 @_query("folder_base_names", r"SELECT DISTINCT folder, nullif(lower(trim(regexp_replace(folder, '(?i)\s*(?:\(\d+\)|\d+|copy|kopie)\s*$', ''))), '') AS base FROM folders_v")
 def folder_base_names(spark, sf_dir):
     return view(spark, sf_dir, "folders_v").select("folder", N.folder_base(F.col("folder")).alias("base")).distinct()
 
 
-@_query("subset_folders_whole")
-def subset_folders_whole(spark, sf_dir):
-    """Over every row of lineitem; subset_folders and its SQL see orders 1 to 200."""
-    return dedupe.folder_relations(view(spark, sf_dir, "all_folders_v"))
-
-
-@_query("folder_base_names_whole", r"SELECT DISTINCT folder, nullif(lower(trim(regexp_replace(folder, '(?i)\s*(?:\(\d+\)|\d+|copy|kopie)\s*$', ''))), '') AS base FROM all_folders_v")
-def folder_base_names_whole(spark, sf_dir):
-    return view(spark, sf_dir, "all_folders_v").select("folder", N.folder_base(F.col("folder")).alias("base")).distinct()
-
-
 @_query("near_duplicates")
 def near_duplicates(spark, sf_dir):
     found, warned = dedupe.near_duplicates(view(spark, sf_dir, "files_v").select("path", "hash", "mtime", "text"))
@@ -181,19 +168,18 @@ def name_predicates(spark, sf_dir):
     return both.select("path", N.is_state_file(p).alias("state"), N.has_copy_marker(p).alias("copy_name"), N.is_id_document(p).alias("id_document"), N.is_under(p, F.lit("src1")).alias("under"))
 
 
-_TRIAGE = f"""WITH h AS (SELECT hash, string_agg(path, '|' ORDER BY path) AS hits FROM home_v GROUP BY hash),
+_TRIAGE = f"""WITH h AS (SELECT hash, count(*)::BIGINT AS n_hits, min(path) AS first_hit FROM home_v GROUP BY hash),
   j AS (SELECT path, hash, size, n, {_JUNK} AS why FROM (SELECT *, regexp_replace(path, '^.*/', '') AS n FROM triage_v)),
-  v AS (SELECT j.path, j.hash, size, why, hits, CASE WHEN starts_with(n, '.para-') THEN 'state' WHEN m.hash IS NOT NULL THEN 'manifest' WHEN why IS NOT NULL THEN 'junk' WHEN q.hash IS NOT NULL THEN 'queue' WHEN hits IS NOT NULL THEN 'duplicate' ELSE 'content' END AS v
+  v AS (SELECT j.path, j.hash, size, why, n_hits, first_hit, CASE WHEN starts_with(n, '.para-') THEN 'state' WHEN m.hash IS NOT NULL THEN 'manifest' WHEN why IS NOT NULL THEN 'junk' WHEN q.hash IS NOT NULL THEN 'queue' WHEN n_hits IS NOT NULL THEN 'duplicate' ELSE 'content' END AS v
     FROM j LEFT JOIN (SELECT DISTINCT hash FROM manifest_v) m ON j.hash = m.hash LEFT JOIN queue_v q ON j.hash = q.hash LEFT JOIN h ON j.hash = h.hash),
   r AS (SELECT *, row_number() OVER (PARTITION BY hash, v IN ('duplicate', 'content') ORDER BY path) AS k FROM v),
-  t AS (SELECT path, hash, size, CASE WHEN v IN ('duplicate', 'content') AND k > 1 THEN 'queue' ELSE v END AS verdict, why, hits FROM r)
+  t AS (SELECT path, hash, size, CASE WHEN v IN ('duplicate', 'content') AND k > 1 THEN 'queue' ELSE v END AS verdict, why, n_hits, first_hit FROM r)
 """
 
 
-@_query("triage_classify", _TRIAGE + "SELECT path, hash, size, verdict, CASE WHEN verdict = 'junk' THEN why END AS reason, CASE WHEN verdict = 'duplicate' THEN hits END AS hits FROM t")
+@_query("triage_classify", _TRIAGE + "SELECT path, hash, size, verdict, CASE WHEN verdict = 'junk' THEN why END AS reason, CASE WHEN verdict = 'duplicate' THEN n_hits END AS n_hits, CASE WHEN verdict = 'duplicate' THEN first_hit END AS first_hit FROM t")
 def triage_classify(spark, sf_dir):
-    found = intake.triage(*(view(spark, sf_dir, x) for x in ("triage_v", "manifest_v", "queue_v", "home_v")))
-    return found.withColumn("hits", F.array_join("hits", "|"))
+    return intake.triage(*(view(spark, sf_dir, x) for x in ("triage_v", "manifest_v", "queue_v", "home_v")))
 
 
 @_query("triage_counts", _TRIAGE + "SELECT verdict, count(*)::BIGINT AS n FROM t GROUP BY verdict")
@@ -216,7 +202,7 @@ def redundancy_moves(spark, sf_dir):
     return intake.redundancy_passes(view(spark, sf_dir, "files_v").select("path", "hash", "mtime"), "src3")[0]
 
 
-@_query("undo_plan")
+@_query("undo_plan", "SELECT doc_id AS seq, 'alt/' || path AS alt, path AS neu, 'verschoben' AS aktion, CASE WHEN doc_id % 10 = 0 THEN 'bereit' ELSE 'quelle_fehlt' END AS status FROM files_v")
 def undo_plan(spark, sf_dir):
     files = view(spark, sf_dir, "files_v")
     log = files.select(F.col("doc_id").alias("seq"), F.concat(F.lit("alt/"), F.col("path")).alias("alt"), F.col("path").alias("neu"), F.lit("verschoben").alias("aktion"))
@@ -232,7 +218,12 @@ def garbled_documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(T.is_garbled(F.col("text")), F.lit(False)).alias("garbled"))
 
 
-@_query("letter_spacing")
+_BLANK_MARK = r"regexp_matches(coalesce(c[{0}], ' '), '[\t-\r\x{{85}}\pZ]')"
+_MARK = lambda i: f"(c[{i}] IS NOT NULL AND NOT {_BLANK_MARK.format(i)})"
+
+
+@_query("letter_spacing", f"""SELECT doc_id, array_to_string(list_transform(generate_series(4, len(c) - 3), lambda i: CASE WHEN c[i] = ' ' AND {_MARK('i-1')} AND {_MARK('i+1')}
+  AND ((c[i+2] = ' ' AND {_MARK('i+3')}) OR (c[i-2] = ' ' AND {_MARK('i-3')})) THEN '' ELSE c[i] END), '') AS text FROM (SELECT doc_id, [NULL, NULL, NULL] || string_split(text, '') || [NULL, NULL, NULL] AS c FROM documents)""")
 def letter_spacing(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.collapse_letter_spacing(F.col("text")).alias("text"))
 
@@ -264,14 +255,8 @@ def _redacted_sql() -> str:
     return text
 
 
-@_query("redact_cards", f"SELECT id, {_step('text', r'\b4242 4242 4242 4242[ \-]?\b', '[KREDITKARTE]')} AS text FROM letters_v WHERE id % 6 IN (1, 2)")
+@_query("redact_cards", f"SELECT id, {_step('text', r'\b4242 4242 4242 4242[ \-]?\b', '[KREDITKARTE]')} AS text FROM letters_v")
 def redact_cards(spark, sf_dir):
-    return view(spark, sf_dir, "letters_v").where("id % 6 in (1, 2)").select("id", T.redact_cards(F.col("text")).alias("text"))
-
-
-@_query("redact_cards_whole")
-def redact_cards_whole(spark, sf_dir):
-    """Over every letter; redact_cards and its SQL see two of six kinds."""
     return view(spark, sf_dir, "letters_v").select("id", T.redact_cards(F.col("text")).alias("text"))
 
 
@@ -336,17 +321,25 @@ def document_types_found(spark, sf_dir):
     return metadata.document_types_found(view(spark, sf_dir, "letters_v"), state.document_types(spark))
 
 
-@_query("metadata_pipeline", _types_sql(f"base AS (SELECT id, {_redacted_sql()} AS text FROM letters_v)") + f""",
+_META = _types_sql(f"base AS (SELECT id, {_redacted_sql()} AS text FROM letters_v)") + f""",
   w AS (SELECT id, max(code) FILTER (place = 1) AS code, max(term) FILTER (place = 1) AS term, string_agg(code || ' (' || term || '×' || hits || ')', ', ' ORDER BY place) FILTER (place > 1) AS others FROM ft GROUP BY id),
-  f AS (SELECT base.id, text, code, term, others, {_date_sql('text')} AS date, {_HINT} AS sender FROM base LEFT JOIN w ON base.id = w.id)
+  f AS (SELECT base.id, text, code, term, others, {_date_sql('text')} AS date, {_HINT} AS sender FROM base LEFT JOIN w ON base.id = w.id)"""
+_SLUG = "regexp_replace(regexp_replace(sender, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@_query("metadata_pipeline", _META + f"""
   SELECT id, CASE WHEN date IS NOT NULL AND code IS NOT NULL THEN 'high' ELSE 'low' END AS confidence, date, code, term, sender,
-  CASE WHEN date IS NOT NULL AND code IS NOT NULL THEN date || '_' || code || '_' || coalesce(regexp_replace(regexp_replace(sender, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 'ABSENDER-PRUEFEN') || '.txt' END AS file_name,
+  CASE WHEN date IS NOT NULL AND code IS NOT NULL THEN date || '_' || code || '_' || coalesce({_SLUG}, 'ABSENDER-PRUEFEN') || '.txt' END AS file_name,
   CASE WHEN date IS NULL OR code IS NULL THEN left(replace(trim(text), chr(10), ' '), 400) END AS snippet, CASE WHEN date IS NOT NULL AND code IS NOT NULL AND others IS NOT NULL THEN 'ambiguous: ' || others END AS warning FROM f""")
 def metadata_pipeline(spark, sf_dir):
     return metadata.analyze(view(spark, sf_dir, "letters_v"), state.document_types(spark)).drop("alternatives")
 
 
-@_query("image_metadata")
+@_query("image_metadata", _META + f""",
+  i AS (SELECT *, coalesce(date, '2024-03-05') AS day FROM f WHERE id % 10 <> 0)
+  SELECT id, false AS id_document, CASE WHEN code IS NOT NULL THEN 'high' ELSE 'low' END AS confidence, day AS date, code, sender, CASE WHEN code IS NOT NULL THEN day || '_' || code || '_' || coalesce({_SLUG}, 'Screenshot') || '.png' END AS file_name,
+  CASE WHEN code IS NULL THEN left(replace(trim(text), chr(10), ' '), 400) END AS snippet, CASE WHEN date IS NOT NULL AND code IS NOT NULL AND others IS NOT NULL THEN 'ambiguous: ' || others END AS warning FROM i
+  UNION ALL SELECT id, true AS id_document, 'low' AS confidence, NULL AS date, NULL AS code, NULL AS sender, NULL AS file_name, NULL AS snippet, 'id document' AS warning FROM f WHERE id % 10 = 0""")
 def image_metadata(spark, sf_dir):
     letters = view(spark, sf_dir, "letters_v")
     name = F.when(F.col("id") % 10 == 0, F.lit("scan/reisepass.png")).otherwise(F.concat(F.lit("scan/"), F.col("id").cast("string"), F.lit(".png")))
@@ -395,8 +388,8 @@ def _repos(spark, sf_dir):
 
 
 _METRICS = rf"""WITH rr AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY published_at DESC NULLS FIRST) AS k FROM releases_v),
-  ra AS (SELECT repo, count(*) FILTER (published_at > {_ASOF} - INTERVAL 365 DAY)::BIGINT AS releases_last_year, max(CASE WHEN k = 1 THEN strftime(published_at, '%Y-%m-%d') END) AS last_release FROM rr WHERE k <= 30 GROUP BY repo),
-  mm AS (SELECT r.repo, stars, strftime(pushed_at, '%Y-%m-%d') AS last_commit, archived, open_issues, round_even(open_issues / nullif(stars, 0) * 1000, 1) AS issues_per_1k_stars, coalesce(releases_last_year, 0) AS releases_last_year, last_release,
+  ra AS (SELECT repo, count(*) FILTER (published_at > {_ASOF} - INTERVAL 365 DAY)::BIGINT AS releases_last_year, max(CASE WHEN k = 1 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') END) AS last_release FROM rr WHERE k <= 30 GROUP BY repo),
+  mm AS (SELECT r.repo, stars, strftime(pushed_at, '%Y-%m-%dT%H:%M:%SZ') AS last_commit, archived, open_issues, round_even(open_issues / nullif(stars, 0) * 1000, 1) AS issues_per_1k_stars, coalesce(releases_last_year, 0) AS releases_last_year, last_release,
     coalesce(CAST(nullif(regexp_extract(link, '[?&]page=(\d+)>; rel="last"', 1), '') AS INT), 1) AS contributors_approx, pushed_at FROM repos_v r JOIN pushed_v p ON r.repo = p.repo LEFT JOIN ra ON r.repo = ra.repo)"""
 
 
@@ -413,7 +406,7 @@ _LIGHTS = _METRICS + f""",
 
 @_query("traffic_lights", _LIGHTS + " SELECT * FROM li")
 def traffic_lights(spark, sf_dir):
-    return scoring.lights(_repos(spark, sf_dir).withColumn("commit", F.col("last_commit").cast("date")), F.to_date(F.expr(_ASOF)))
+    return scoring.lights(_repos(spark, sf_dir).withColumn("commit", scoring.iso_time(F.col("last_commit"))), F.to_date(F.expr(_ASOF)))
 
 
 @_query("rubric_points", _LIGHTS + """, n AS (SELECT repo, len(list_filter(l, lambda x: x = 'red')) AS r, len(list_filter(l, lambda x: x = 'yellow')) AS y FROM (SELECT repo, [commit_light, release_light, star_light, contributor_light, issue_light] AS l FROM li))
@@ -510,17 +503,10 @@ def dispositions(spark, sf_dir):
     return filing.disposition(view(spark, sf_dir, "names_v").withColumn("confidence", F.when(F.col("doc_id") % 3 == 0, F.lit("high")).otherwise(F.lit("low"))))
 
 
-@_query("target_names", r"""SELECT path, CASE WHEN ends_with(path, '.dmg') OR regexp_matches(path, '\.jpg$') THEN NULL WHEN contains(path, '/Screenshot') THEN '2024-05-06_Screenshot_was.png' ELSE '2024-05-06_RG_was' || regexp_extract(lower(regexp_replace(path, '^.*/', '')), '^.+(\.[^.]*)$', 1) END AS target FROM (SELECT DISTINCT path FROM names_v WHERE doc_id % 11 >= 4)""")
-def target_names(spark, sf_dir):
-    p = F.col("path")
-    lit = lambda x: F.lit(x).cast("string")
-    return view(spark, sf_dir, "names_v").where("doc_id % 11 >= 4").select("path").distinct().select("path", filing.target_name(filing.kind_of(p), lit(None), lit("RG"), lit("was"), p, lit("2024-05-06")).alias("target"))
-
-
-@_query("target_names_whole", rf"""SELECT path, CASE WHEN ends_with(path, '.dmg') OR regexp_matches(path, '\.jpg$') THEN NULL WHEN contains(path, '/Screenshot') THEN '2024-05-06_Screenshot_was.png' ELSE '2024-05-06_RG_was' || regexp_extract(lower(regexp_replace(path, '^.*/', '')), '^.+(\.[^.]*)$', 1) END AS target
+@_query("target_names", rf"""SELECT path, CASE WHEN ends_with(path, '.dmg') OR regexp_matches(path, '\.jpg$') THEN NULL WHEN contains(path, '/Screenshot') THEN '2024-05-06_Screenshot_was.png' ELSE '2024-05-06_RG_was' || regexp_extract(lower(regexp_replace(path, '^.*/', '')), '^.+(\.[^.]*)$', 1) END AS target
   FROM (SELECT DISTINCT path FROM (SELECT path, n, {_JUNK} AS j FROM (SELECT *, regexp_replace(path, '^.*/', '') AS n FROM names_v)) WHERE j IS NULL AND NOT starts_with(n, '.para-'))""")
-def target_names_whole(spark, sf_dir):
-    """Every file that is neither junk nor a state file has a target; target_names and its SQL leave 4 of 11 names out by id."""
+def target_names(spark, sf_dir):
+    """Of every file that is neither junk nor a state file."""
     p = F.col("path")
     lit = lambda x: F.lit(x).cast("string")
     kept = view(spark, sf_dir, "names_v").where(N.junk_reason(p, F.col("size")).isNull() & ~N.is_state_file(p))

@@ -21,8 +21,7 @@ VIEWS: dict[str, str] = {
     "triage_v": "SELECT path, hash, size FROM names_v WHERE doc_id % 2 = 0",
     "manifest_v": "SELECT hash, 'ablage/' || CAST(min(doc_id) AS STRING) AS ziel FROM files_v WHERE doc_id % 13 = 0 GROUP BY hash",
     "queue_v": "SELECT DISTINCT hash FROM files_v WHERE doc_id % 17 = 0",
-    "folders_v": "SELECT DISTINCT 'ordner ' || CAST(l_orderkey AS STRING) || CASE l_orderkey % 3 WHEN 0 THEN ' (2)' WHEN 1 THEN ' kopie' ELSE '' END AS folder, SHA(l_returnflag || l_linestatus) AS hash FROM lineitem WHERE l_orderkey <= 200",
-    "all_folders_v": "SELECT 'ordner ' || CAST(l_orderkey AS STRING) || CASE l_orderkey % 3 WHEN 0 THEN ' (2)' WHEN 1 THEN ' kopie' ELSE '' END AS folder, SHA('' || l_partkey) AS hash FROM lineitem",
+    "folders_v": "SELECT 'ordner ' || CAST(l_orderkey AS STRING) || CASE l_orderkey % 3 WHEN 0 THEN ' (2)' WHEN 1 THEN ' kopie' ELSE '' END AS folder, SHA('' || l_partkey) AS hash FROM lineitem",
     "letters_v": f"""SELECT o_orderkey AS id, '.txt' AS ext,
   'Absender: Firma ' || CAST(100000 + o_custkey AS STRING) || CASE o_orderkey % 4 WHEN 0 THEN ' GmbH' WHEN 1 THEN ' AG' WHEN 2 THEN ' Bank' ELSE '' END || chr(10)
   || {_TYPE} || ' vom ' || CASE o_orderkey % 3 WHEN 0 THEN {_Y} || '-' || lpad({_M}, 2, '0') || '-' || lpad({_D}, 2, '0') WHEN 1 THEN {_D} || '.' || {_M} || '.' || {_Y} ELSE 'Monatsende' END || '. ' || {_SECOND}

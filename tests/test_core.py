@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.functions import names as N
 from loomdoc.functions import text as T
-from loomdoc.operators import dedupe, filing, intake, metadata, scoring
+from loomdoc.operators import dedupe, evaluation, filing, flows, intake, metadata, scoring
 from loomdoc.operators.moves import apply_moves, apply_undo
 from loomdoc.plans.queries import ORACLE_SQL, QUERIES
 from loomdoc.plans.views import view
@@ -42,7 +42,7 @@ def test_cards_of_all_letters(spark, sf):
 
     cards = lambda text: re.sub(T.CARD.replace("(?U)", ""), lambda m: "[KREDITKARTE]" if valid(m[0]) else m[0], text)
     letters = {x["id"]: x["text"] for x in view(spark, sf, "letters_v").select("id", "text").collect()}
-    got = {x["id"]: x["text"] for x in QUERIES["redact_cards_whole"](spark, sf).collect()}
+    got = {x["id"]: x["text"] for x in QUERIES["redact_cards"](spark, sf).collect()}
     assert got == {i: cards(t) for i, t in letters.items()} and {i % 6 for i in got} == set(range(6))
     r = random.Random(13)
     texts = [" x ".join("".join(r.choice("0123456789") + r.choice(["", "", "", " ", "-"]) for _ in range(r.randint(11, 22))) for _ in range(4)) for _ in range(200)]
@@ -53,7 +53,7 @@ def test_targets_of_all_names(spark, sf):
     rows = view(spark, sf, "names_v").select("path", "size").collect()
     junk = lambda n, size: size == 0 or n == ".DS_Store" or n.startswith("~$") or n.endswith(".crdownload")
     want = {x["path"] for x in rows if not junk(n := x["path"].split("/")[-1], x["size"]) and not n.startswith(".para-")}
-    got = {x["path"]: x["target"] for x in QUERIES["target_names_whole"](spark, sf).collect()}
+    got = {x["path"]: x["target"] for x in QUERIES["target_names"](spark, sf).collect()}
     assert set(got) == want and want
     end = lambda p: "2024-05-06_Screenshot_was.png" if "/Screenshot" in p else None if p.endswith((".jpg", ".dmg")) else "2024-05-06_RG_was.txt"
     assert got == {p: end(p) for p in want}
@@ -148,10 +148,10 @@ def test_folders_of_the_whole_table(spark, sf):
         held.setdefault(k, set()).add(p)
         having.setdefault(p, set()).add(k)
     want = {("identical" if held[a] == held[b] else "a_in_b", a, b) for a, s in held.items() for b in having[min(s)] if s <= held[b] and a != b}
-    got = QUERIES["subset_folders_whole"](spark, sf).selectExpr("relation", "cast(split(folder_a, ' ')[1] as bigint) a", "cast(split(folder_b, ' ')[1] as bigint) b").collect()
+    got = QUERIES["subset_folders"](spark, sf).selectExpr("relation", "cast(split(folder_a, ' ')[1] as bigint) a", "cast(split(folder_b, ' ')[1] as bigint) b").collect()
     key = lambda rel, a, b: (rel, *(sorted((a, b)) if rel == "identical" else (a, b)))
     assert len(got) == len({tuple(x) for x in got}) and {key(*x) for x in got} == {key(*x) for x in want} and max(a for _, a, _ in want) > 200
-    assert QUERIES["folder_base_names_whole"](spark, sf).count() == len(held)
+    assert QUERIES["folder_base_names"](spark, sf).count() == len(held)
 
 
 def test_undo_chain(spark):
@@ -225,14 +225,36 @@ def test_file_tree_and_stream(spark, tmp_path):
     assert dedupe.exact_groups(files).first()["n_files"] == 2
     texts = {os.path.basename(r["path"]): r for r in file_texts(files).collect()}
     assert texts["a.txt"]["text"] == "same" and texts["empty.pdf"]["text"] is None and texts["z.tmp"]["warning"]
+
+
+def test_triage_stream(spark, tmp_path):
+    """Two empty files, junk and a document of one content, a file moved in with an old time, one that can't be read, and copies."""
+    root, out = tmp_path / "in", str(tmp_path / "out")
     none = spark.createDataFrame([], "hash string, path string")
     runs = []
-    for new in (None, "late.txt"):
-        if new:
-            (root / new).write_text("later")
-        triage_stream(file_stream(spark, str(root)), none, none, str(tmp_path / "out"), str(tmp_path / "ck"), notify=lambda b, n: runs.append(n)).awaitTermination()
-    got = [(os.path.relpath(r["path"], root), r["verdict"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert len(got) == 5 and dict(got)["late.txt"] == "content" and dict(got)["empty.pdf"] == "junk"
+
+    def write(**files):
+        for p, text in files.items():
+            p = p.replace("__", ".")
+            (root / p).parent.mkdir(parents=True, exist_ok=True)
+            (root / p).write_text(text)
+
+    def run():
+        triage_stream(file_stream(spark, str(root), str(tmp_path / "seen")), none, none, out, str(tmp_path / "ck"), notify=lambda b, n: runs.append(n)).awaitTermination()
+        return {os.path.basename(r["path"]): r for r in spark.read.parquet(out).collect()}
+
+    write(empty1__pdf="", empty2__pdf="", a__part="same", b__pdf="same", c__txt="copy", d__txt="copy", __DS_Store="x")
+    os.symlink(root / "nowhere", root / "broken.txt")
+    got = run()
+    assert {n: r["verdict"] for n, r in got.items()} == {"empty1.pdf": "junk", "empty2.pdf": "junk", "a.part": "junk", "b.pdf": "content", "c.txt": "content", "d.txt": "queue", ".DS_Store": "junk", "broken.txt": "unreadable"}
+    assert got["broken.txt"]["error"] and got["b.pdf"]["error"] is None
+    write(moved_in__txt="old", again__pdf="same", empty3__pdf="")
+    os.utime(root / "moved_in.txt", (1_000_000_000, 1_000_000_000))
+    got = run()
+    assert {n: got[n]["verdict"] for n in ("moved_in.txt", "again.pdf", "empty3.pdf")} == {"moved_in.txt": "content", "again.pdf": "queue", "empty3.pdf": "junk"}
+    assert len(run()) == len(got) == sum(runs) == 11
+    write(b__pdf="changed")
+    assert run()["b.pdf"]["verdict"] == "content" and sum(runs) == 12
 
 
 def test_free_names(spark):
@@ -257,11 +279,141 @@ def test_rules(spark):
     assert [int_option(x, 3) for x in (None, "x", "0", "7")] == [3, 3, 3, 7]
 
 
+def test_triage_flow(spark, tmp_path):
+    src, bin_ = tmp_path / "in", tmp_path / "in" / "bin"
+    bin_.mkdir(parents=True)
+    for name, text in {"a.part": "x", "b.part": "y", "brief.txt": "Rechnung vom 1.2.2024", "copy.txt": "Rechnung vom 1.2.2024", "held.md": "held", "done.txt": "done"}.items():
+        (src / name).write_text(text)
+    (bin_ / "a.part").write_text("older")
+    os.symlink(src / "nowhere", src / "broken.txt")
+    files, broken, _ = file_tree(spark, str(src))
+    files = files.withColumn("error", F.lit(None).cast("string")).unionByName(broken, allowMissingColumns=True)
+    by = {os.path.basename(r["path"]): r["hash"] for r in files.collect()}
+    one = lambda h, c: spark.createDataFrame([(h, "ziel/x")], f"hash string, {c} string")
+    queue = str(tmp_path / "queue")
+
+    def plan():
+        known = spark.read.schema(state.QUEUE).json(queue).select("hash") if os.path.exists(queue) else spark.createDataFrame([], "hash string")
+        return flows.triage_plan(files, one(by["done.txt"], "ziel"), known, one(by["held.md"], "path"), str(bin_), F.lit("t"), file_texts(files), state.document_types(spark))
+
+    dry = flows.triage_run(plan(), queue, str(tmp_path / "log"), "t")
+    assert [e for *_, e in dry] == [None, None] and (src / "a.part").exists() and not os.path.exists(queue)
+    said = []
+    done = plan()
+    assert done.counts() == "2 new files, 2 to quarantine, 2 left out, 1 unreadable"
+    flows.triage_run(done, queue, str(tmp_path / "log"), "t", said.append, apply=True)
+    assert said == ["2 new files, 2 in quarantine"] and (bin_ / "a (1).part").read_text() == "x" and (bin_ / "a.part").read_text() == "older" and (src / "brief.txt").exists()
+    rows = {os.path.basename(r["quelle"]): r for r in spark.read.json(queue).collect()}
+    assert set(rows) == {"brief.txt", "held.md"} and rows["held.md"]["klasse"] == "dublette" and rows["held.md"]["ziel_treffer"] == ["ziel/x"]
+    assert rows["brief.txt"]["vorschlag_dateiname"] == "2024-02-01_RG_ABSENDER-PRUEFEN.txt" and rows["brief.txt"]["klasse"] == "inhalt"
+    log = spark.read.csv(str(tmp_path / "log"), sep=";", header=True).collect()
+    assert sorted(os.path.basename(r["alt"]) for r in log) == ["a.part", "b.part"] and {r["aktion"] for r in log} == {"quarantäne"}
+    assert plan().queue.count() == 0
+
+
+def test_redundancy_flow(spark, tmp_path):
+    base = "a text that is long enough to be compared with another one, twice over and over"
+    for name, text in {"a.txt": "same", "b.txt": "same", "n1.txt": base, "n2.txt": base + "!"}.items():
+        (tmp_path / name).write_text(text)
+    files = file_tree(spark, str(tmp_path))[0]
+    files = files.join(file_texts(files).select("path", "text"), "path").select("path", "hash", "mtime", "text")
+    found = flows.redundancy_flow(files, str(tmp_path / "bin"))
+    assert found.report() == "1 redundant files, stable\n1 groups of near-duplicates are left" and sorted(os.listdir(tmp_path)) == ["a.txt", "b.txt", "n1.txt", "n2.txt"]
+    gone = found.moves.first()
+    flows.redundancy_flow(files, str(tmp_path / "bin"), apply=True)
+    assert not os.path.exists(gone["path"]) and open(gone["target"]).read() == "same" and os.path.exists(gone["keep"])
+
+
+def test_repositories_are_fetched_until_the_limit(spark):
+    import urllib.error
+
+    from loomdoc.sources.readers import RateLimited
+
+    def get(url, token=None):
+        slug = "/".join(url.split("/repos/")[1].split("/")[:2])
+        if slug == "o/gone":
+            raise urllib.error.HTTPError(url, 404, "no", {}, None)
+        if slug == "o/net":
+            raise urllib.error.URLError("down")
+        if slug == "o/limit":
+            raise RateLimited(url)
+        if "/releases" in url:
+            return [{"published_at": "2024-01-02T03:04:05Z"}, {"published_at": None}], None
+        if "/contributors" in url:
+            return [], '<https://x/?per_page=1&page=7>; rel="last"'
+        return {"stargazers_count": 2000, "pushed_at": "2024-02-03T04:05:06Z", "archived": False, "open_issues_count": 3}, None
+
+    got, errors, ended = flows.repo_report(spark, ["o/a", "nothing", "o/gone", "o/net", "o/limit", "o/never"], F.lit("2024-06-01").cast("timestamp"), get=get)
+    rows = got.collect()
+    assert [(r["repo"], r["stars"], r["last_commit"], r["releases_last_year"], r["contributors_approx"], r["issues_per_1k_stars"]) for r in rows] == [("o/a", 2000, "2024-02-03T04:05:06Z", 1, 7, 1.5)]
+    assert ended and [(r["repo"], r["error"].split(":")[0]) for r in errors.collect()] == [("o/gone", "HTTP 404"), ("o/net", "network"), ("o/limit", "rate limit")]
+
+
+def test_golden_cases(spark, tmp_path):
+    import json
+
+    def cases(name, rows, schema):
+        (tmp_path / name).write_text("\n\n".join(json.dumps(r) for r in rows) if name.endswith("l") else json.dumps(rows))
+        return evaluation.load_cases(spark, str(tmp_path / name), schema)
+
+    file = lambda n, t="": {"name": n, "inhalt": t}
+    near = "Ein Entwurf über die Zusammenarbeit von zwei Seiten, die zwölf Monate dauert und sich verlängert"
+    meta = cases("metadata.jsonl", [
+        {"id": "good", "dateiname": "x.txt", "inhalt": "Rechnung vom 2026-07-15. Vertrag", "erwartetes_datum": "2026-07-15", "erwartetes_kuerzel": "RG", "erwartete_confidence": "high", "erwartet_garbled": False, "erwartet_alternativen": ["VTR"]},
+        {"id": "bad", "dateiname": "x.txt", "inhalt": "Angebot", "erwartetes_datum": "2026-01-01", "erwartetes_kuerzel": "ANG", "erwartete_confidence": "low", "erwartet_garbled": False, "erwartet_alternativen": []},
+        {"id": "torn", "dateiname": "x.txt", "inhalt": "ab cd " * 20, "erwartetes_datum": None, "erwartetes_kuerzel": None, "erwartete_confidence": "low", "erwartet_garbled": True, "erwartet_alternativen": []},
+    ], evaluation.METADATA)
+    red = cases("redaction.jsonl", [{"id": "r", "dateiname": "x", "inhalt": "an a.b@c.org, Mara", "darf_nicht_enthalten": ["a.b@c.org", "Mara"]}], evaluation.REDACTION)
+    dup = cases("dedupe.json", [
+        {"id": "d", "fixture": [file("v.txt", "same"), file("v-kopie.txt", "same"), file("o.txt", "other")], "erwartet_exakte_gruppen": 1, "erwartet_behalten": "v.txt"},
+        {"id": "n", "fixture": [file("1.txt", near), file("2.txt", near + "t")], "erwartet_near_gruppen": 1, "erwartet_exakte_gruppen": 0},
+        {"id": "h", "fixture": [file("a.txt", "same"), file("b.txt", "x")], "home": [file("z.txt", "same")], "erwartet_bereits_im_ziel": 1},
+    ], evaluation.DEDUPE)
+    tri = cases("triage.json", [{"id": "t", "fixture": [file(".DS_Store"), file("n.txt", "new"), file("k.txt", "known")], "home": [file("k2.txt", "known")], "erwartet_muell": 1, "erwartet_inhalt": 1, "erwartet_dublette": 2}], evaluation.TRIAGE)
+    checks = evaluation.track(meta, red, dup, tri, state.document_types(spark))
+    got = {r["metric"]: (r["hits"], r["total"]) for r in scoring.metric_rates(checks).collect()}
+    assert got == {"datum_korrekt": (1, 2), "kuerzel_korrekt": (2, 2), "confidence_korrekt": (2, 2), "garbled_gefangen": (1, 1), "mehrdeutigkeit_gemeldet": (1, 1), "schwaerzung_leak_frei": (1, 2), "exakte_dup_precision": (3, 3), "near_dup_erkannt": (1, 1), "bereits_im_ziel_erkannt": (1, 1), "triage_klassifikation": (2, 3)}
+    assert {r["detail"] for r in evaluation.failures(checks).collect()} == {"bad", "r: Mara", "t: duplicate"}
+    answers = spark.createDataFrame([("a", "projects.", "Projects"), ("b", "Areas", "Projects"), ("c", "Whatever", "Whatever"), ("d", None, "Areas")], "id string, kategorie string, erwartete_kategorie string")
+    assert [r["ok"] for r in evaluation.category_checks(answers).orderBy("detail").collect()] == [True, False, False, False]
+    assert evaluation.load_cases(spark, str(tmp_path / "metadata.jsonl"), evaluation.METADATA).count() == 3
+
+
+def test_plan_order():
+    assert flows.in_order(flows.PLAN_ORDER) == [n for n, _ in flows.PLAN_ORDER] and flows.in_order([("b", ["a"]), ("a", []), ("c", [])]) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        flows.in_order([("a", ["b"]), ("b", ["a"])])
+
+
+def test_images_without_libraries_give_warnings(spark, tmp_path):
+    (tmp_path / "x.jpg").write_bytes(b"no image")
+    from loomdoc.sources.readers import image_facts
+
+    got = image_facts(spark.createDataFrame([(str(tmp_path / "x.jpg"),)], "path string"), ocr=True).first()
+    assert got["warning"] and got["tags"] == [] and got["text"] is None
+
+
+def test_hot_keys(spark):
+    """Most files have one hash, one type, or none that could be read: the same answers, from tasks that share them."""
+    rows = [(f"d/{i:04d}.txt", "hot" if i % 10 else f"h{i}", i % 7, 1) for i in range(3000)] + [(f"e/{i}.txt", None, 0, None) for i in range(300)]
+    files = spark.createDataFrame(rows, "path string, hash string, mtime long, size long")
+    kept = files.where("hash is not null")
+    groups = dedupe.exact_groups(kept).collect()
+    assert len(groups) == 2700 and {(r["n_files"], r["keep"]) for r in groups} == {(2700, "d/0007.txt")}
+    assert dedupe.redundant_paths(kept).count() == 2699
+    none = spark.createDataFrame([], "hash string, path string")
+    judged = intake.triage(files.select("path", "hash", "size"), none, none, none).groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] for r in judged} == {"content": 301, "queue": 2699, "unreadable": 300}
+    got = {r["path"]: r["batch"] for r in filing.batches(kept.select("path", "size", "mtime")).collect()}
+    want = [p for p, *_ in sorted(((p, m) for p, h, m, _ in rows if h), key=lambda x: (x[1], x[0]))]
+    assert got == {p: i // 50 for i, p in enumerate(want)}
+
+
 #: May be empty where the table is small.
 SPARSE = {"near_duplicates", "near_duplicates_scaled", "redact_iban_any", "superseded_installers"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"near_duplicates", "document_types_found", "metadata_pipeline", "image_metadata"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"near_duplicates"}))
 def test_queries_have_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).limit(1).count() == 1 or name in SPARSE
 
@@ -272,7 +424,7 @@ def test_queries_against_sql(spark, sf):
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels", "conversations", "pages"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     norm = lambda row: tuple(round(x, 6) if isinstance(x, float) else x for x in row)
-    for name in ("exact_duplicates", "subset_folders", "triage_classify", "redact_all", "metadata_pipeline", "repo_metrics", "rubric_recommended"):
+    for name in ("exact_duplicates", "redundant_copies", "newest_copy", "known_hashes", "already_in_target", "triage_classify", "manifest_record", "redact_cards", "target_names", "undo_plan", "letter_spacing", "document_types_found", "image_metadata", "batch_order", "depth_rule", "redundancy_moves", "redact_all", "metadata_pipeline", "repo_metrics", "rubric_recommended"):
         df = QUERIES[name](spark, sf)
         columns = ", ".join(f'"{c}"' for c in df.columns)
         want = [norm(r) for r in con.sql(f"select {columns} from ({ORACLE_SQL[name]})").fetchall()]
