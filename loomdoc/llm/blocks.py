@@ -7,11 +7,10 @@ Facts about documents travel between groups and buckets as packed arrays, a row
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,11 +174,11 @@ def as_arrays(raw: bytes) -> list[np.ndarray]:
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes, lightly compressed."""
-    return zlib.compress(as_bytes(*arrays), 1)
+    return zstandard.compress(as_bytes(*arrays), 1)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    return as_arrays(zlib.decompress(blob))
+    return as_arrays(zstandard.decompress(blob))
 
 
 def unpack_all(column: pa.ChunkedArray) -> list[np.ndarray]:

@@ -6,7 +6,8 @@ Light sets enumerate their subsets of each size c that a partner can ask for; tw
 share so many, so such a link needs no proof, and a list's smallest set is linked with all that its size allows.
 Heavy sets go to the inverted lists of their least shingles in hash order: all that the prefix filter asks for, but at most
 sketch of them. Shingles of the union in order are common with a chance of threshold each, so two linked sets miss each other
-with a chance of at most (1 - threshold) ** sketch, set to 1e-20: less than that of two 64-bit hashes being equal.
+with a chance of at most (1 - threshold) ** sketch, set to 1e-20: less than that of two 64-bit hashes being equal. whole_prefix
+takes them all.
 The boundary is the largest size up to which subsets cost less than lists (cost_of). Sizes near it do both.
 A list is scanned with parity bitmaps: two sets that differ in d shingles have bitmaps that differ in at most d bits, so pairs
 over the limit are no links. Of the rest a list names a spanning forest, closest pairs first; these pairs are verified with all
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.blocks import NO_ID, Words, gram_hashes, group_count, grouped, ids_of, mix, ordered, pack, rows_of, split_by, unpack, unpack_all
+from loomdoc.llm.blocks import NO_ID, Words, gram_hashes, group_count, grouped, ids_of, mix, ordered, pack, rows_of, spans, split_by, unpack
 from loomdoc.llm.components import components
 from loomdoc.session import written
 
@@ -40,9 +41,9 @@ MOST_WORDS = 256  # of a bitmap, 64 bits each
 class Limits:
     """Integer arithmetic of 100 * shared >= percent * union."""
 
-    def __init__(self, percent: int) -> None:
+    def __init__(self, percent: int, whole_prefix: bool = False) -> None:
         self.percent = percent
-        self.sketch = 1 if percent >= 100 else math.ceil(-20 / math.log10(1 - percent / 100))
+        self.sketch = 1 << 62 if whole_prefix else 1 if percent >= 100 else math.ceil(-20 / math.log10(1 - percent / 100))
         self.light = max((n for n in range(1, 64) if self.cost_of(n)[0] <= self.cost_of(n)[1] and all(self.cost_of(k)[0] <= self.cost_of(k)[1] for k in range(1, n))), default=0)
 
     def shared(self, n: int, m: int) -> int:
@@ -56,7 +57,10 @@ class Limits:
         return sorted({c for m in self.partners(n) if 0 < (c := self.shared(n, m)) <= min(n, m)})
 
     def prefix(self, n: int) -> int:
-        return min(self.sketch, n - (-(-self.percent * n // 100)) + 1)
+        return int(self.prefixes(np.array([n]))[0])
+
+    def prefixes(self, n: np.ndarray) -> np.ndarray:
+        return np.minimum(self.sketch, n - (-(-self.percent * n // 100)) + 1)
 
     def cost_of(self, n: int) -> tuple[float, float]:
         """Of subsets: one key each. Of lists: a key each, a bitmap and the verification of a set."""
@@ -106,25 +110,22 @@ def _fold(bitmap: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
 
 
-def _keys(gram: np.ndarray, limits: Limits) -> tuple[list[np.ndarray], list[int]]:
-    """Keys of one set; kinds: the subset size, 0 for inverted lists."""
-    n, keys, kinds = len(gram), [], []
-    if n <= limits.light:
-        whole = gram.sum(dtype=np.uint64)
-        for c in limits.sizes(n):
-            out = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
-            left = whole - gram[out].sum(axis=1, dtype=np.uint64)
-            keys.append(mix(left + np.uint64(c << 56)))
-            kinds.append(c)
-    if n > limits.light or limits.partners(n)[-1] > limits.light:
-        keys.append(gram[: limits.prefix(n)])
-        kinds.append(0)
-    return keys, kinds
+def _subsets(gram: np.ndarray, limits: Limits) -> list[tuple[np.ndarray, int]]:
+    """(keys, size) for each size of subsets of one light set."""
+    n, whole, out = len(gram), gram.sum(dtype=np.uint64), []
+    for c in limits.sizes(n):
+        without = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
+        left = whole - gram[without].sum(axis=1, dtype=np.uint64)
+        out.append((mix(left + np.uint64(c << 56)), c))
+    return out
 
 
+NODE, KEY, MAP = 0, 1, 2
+SALTS = 16
 BY_BUCKET = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("blob", pa.binary())])
-BY_GROUP = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("blob", pa.binary())])
-SURE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PREPARED = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("b", pa.int32()), ("blob", pa.binary())])
+LISTED = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("blob", pa.binary()), ("node_a", pa.int64()), ("node_b", pa.int64())])
+SETS = pa.schema([("p", pa.int32()), ("node", pa.int64()), ("blob", pa.binary())])
 NAMED = pa.schema([("bucket", pa.int32()), *[(f"{k}{s}", t) for s in "ab" for k, t in (("node_", pa.int64()), ("g_", pa.int32()), ("row_", pa.int32()))]])
 _NAMED = "bucket int, node_a long, g_a int, row_a int, node_b long, g_b int, row_b int"
 
@@ -189,71 +190,66 @@ def _forest(nodes: np.ndarray, n: np.ndarray, maps: list[np.ndarray], limits: Li
     return out
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id that links reach), and the columns of keep, for docs (doc_id, text).
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, whole_prefix: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id that links reach) for docs (doc_id, text).
 
-    Two documents link if 100 * shared shingles >= percent * shingles of both together.
+    Two documents link if 100 * shared shingles >= percent * shingles of both together. whole_prefix: no sketch, so nothing is left to chance.
     """
-    limits = Limits(percent)
+    limits = Limits(percent, whole_prefix)
     groups = buckets = group_count(docs)
     base = grouped(docs, groups)
 
-    def nodes(table: pa.Table) -> pa.Table:
+    def prepare(table: pa.Table) -> pa.Table:
+        """Of a group, in one pass: its rows (NODE), their keys by bucket (KEY), and the bitmaps of sets that go to lists (MAP)."""
         table = ordered(table)
-        _, first, node = shingle_sets(table, size)
-        return pa.table({"g": table["g"], "row": pa.array(np.arange(len(table)), pa.int32()), "doc_id": table["doc_id"], "n": pa.array(np.diff(first)), "node": pa.array(node.view(np.int64))})
-
-    def keys(table: pa.Table) -> pa.Table:
-        g, (gram, first, node) = table["g"][0].as_py(), shingle_sets(ordered(table), size)
+        g, (gram, first, node) = table["g"][0].as_py(), shingle_sets(table, size)
         n = np.diff(first)
-        key, kind, of = [], [], []
-        for i in np.unique(node[n > 0], return_index=True)[1]:  # copies within the group go once
-            i = int(np.flatnonzero(n > 0)[i])
-            for x, c in zip(*_keys(gram[first[i] : first[i + 1]], limits), strict=True):
+        some = np.flatnonzero(n > 0)
+        some = np.sort(some[np.unique(node[some], return_index=True)[1]])  # copies within the group go once
+        heavy = some[(n[some] > limits.light) | (n[some] * 100 // percent > limits.light)]
+        many = limits.prefixes(n[heavy])
+        key, kind, of = [gram[np.repeat(first[heavy], many) + spans(many)]], [np.zeros(many.sum(), np.uint8)], [np.repeat(heavy, many)]
+        for i in some[n[some] <= limits.light].tolist():
+            for x, c in _subsets(gram[first[i] : first[i + 1]], limits):
                 key.append(x)
                 kind.append(np.full(len(x), c, np.uint8))
-                of.append(np.full(len(x), i, np.uint32))
-        if not key:
-            return BY_BUCKET.empty_table()
+                of.append(np.full(len(x), i))
         key, kind, of = np.concatenate(key), np.concatenate(kind), np.concatenate(of)
-        return rows_of(BY_BUCKET, [(b, g, pack(key[x], kind[x], node[of[x]], n[of[x]].astype(np.uint32), of[x])) for b, x in split_by((mix(key) % np.uint64(buckets)).astype(np.int64))])
-
-    def sure(table: pa.Table) -> pa.Table:
-        key, kind, node, n, _, _ = _lists(table)
-        of = kind > 0
-        key, kind, node, n = key[of], kind[of].astype(np.int64), node[of], n[of].astype(np.int64)
-        head = np.ones(len(key), bool)
-        head[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
-        hub = np.flatnonzero(head)[np.cumsum(head) - 1] if len(key) else np.zeros(0, np.int64)
-        link = (-(-percent * (n[hub] + n) // (100 + percent)) <= kind) & (node[hub] != node)
-        pairs = np.unique(np.stack([node[hub][link].view(np.int64), node[link].view(np.int64)], 1), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=SURE)
-
-    def wanted(table: pa.Table) -> pa.Table:
-        key, kind, _, n, group, row = _lists(table)
-        of = kind == 0
-        key, n, group, row = key[of], n[of].astype(np.int64), group[of], row[of]
+        parts = [(b, pack(key[x], kind[x], node[of[x]], n[of[x]].astype(np.uint32), of[x].astype(np.uint32))) for b, x in split_by((mix(key) % np.uint64(buckets)).astype(np.int64))]
+        maps = [_bitmap(gram[first[i] : first[i + 1]]) for i in heavy.tolist()]
+        blob = pack(heavy, node[heavy], n[heavy], np.array([len(x) for x in maps], np.int64), np.concatenate([np.zeros(0, np.uint64), *maps]))
+        rows = pa.table({"kind": pa.array(np.full(len(table), NODE, np.int32)), "g": table["g"], "row": pa.array(np.arange(len(table)), pa.int32()), "doc_id": table["doc_id"], "n": pa.array(n, pa.int64()), "node": pa.array(node.view(np.int64)), "b": pa.nulls(len(table), pa.int32()), "blob": pa.nulls(len(table), pa.binary())}, schema=PREPARED)
+        return pa.concat_tables([rows, rows_of(PREPARED, [(KEY, g, None, None, None, None, b, x) for b, x in parts] + [(MAP, g, None, None, None, None, None, blob)])])
+
+    def listed(table: pa.Table) -> pa.Table:
+        """Links that subsets prove (g is null); and by group the entries of lists that have a partner of a size that fits."""
+        key, kind, node, n, group, row = _lists(table)
+        kind, n, b = kind.astype(np.int64), n.astype(np.int64), table["b"][0].as_py()
+        of = np.flatnonzero(kind > 0)
+        new = np.ones(len(of), bool)
+        new[1:] = (key[of][1:] != key[of][:-1]) | (kind[of][1:] != kind[of][:-1])
+        hub = of[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(of) else of
+        link = (-(-percent * (n[hub] + n[of]) // (100 + percent)) <= kind[of]) & (node[hub] != node[of])
+        pairs = np.unique(np.stack([node[hub][link].view(np.int64), node[of][link].view(np.int64)], 1), axis=0)
+        of = np.flatnonzero(kind == 0)
+        key, n, group, row = key[of], n[of], group[of], row[of]
         fits = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])  # next to each other in size
         some = np.zeros(len(key), bool)
         some[1:] |= fits
         some[:-1] |= fits
-        b = table["b"][0].as_py()
-        return rows_of(BY_GROUP, [(g, b, pack(np.stack([key[some][x], row[some][x].astype(np.uint64)], 1).ravel())) for g, x in split_by(group[some])])
+        asked = [(int(g), b, pack(key[some][x], row[some][x]), None, None) for g, x in split_by(group[some])]
+        return rows_of(LISTED, asked + [(None, b, None, int(x), int(y)) for x, y in pairs])
 
     def maps(table: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(table) or not len(asked):
             return BY_BUCKET.empty_table()
-        g, (gram, first, node) = table["g"][0].as_py(), shingle_sets(ordered(table), size)
-        made: dict[int, np.ndarray] = {}
+        g, (rows, node, n, width, words) = table["g"][0].as_py(), unpack(table["blob"][0].as_py())
+        begin = np.cumsum(width) - width
         out = []
         for b, blob in zip(asked["b"].to_pylist(), asked["blob"], strict=True):
-            key, row = unpack(blob.as_py())[0].reshape(-1, 2).T
-            row = row.astype(np.int64)
-            for r in np.unique(row).tolist():
-                if r not in made:
-                    made[r] = _bitmap(gram[first[r] : first[r + 1]])
-            mine = [made[r] for r in row.tolist()]
-            out.append((b, g, pack(key, node[row], np.diff(first)[row], row, np.array([len(x) for x in mine]), np.concatenate(mine))))
+            key, row = unpack(blob.as_py())
+            at = np.searchsorted(rows, row)
+            out.append((b, g, pack(key, node[at], n[at], row.astype(np.int64), width[at], words[np.repeat(begin[at], width[at]) + spans(width[at])])))
         return rows_of(BY_BUCKET, out)
 
     def named(table: pa.Table, known: pa.Table | None) -> pa.Table:
@@ -277,43 +273,38 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, keep:
         b = table["b"][0].as_py()
         return rows_of(NAMED, [(b, int(node[i]), int(group[i]), int(row[i]), int(node[j]), int(group[j]), int(row[j])) for i, j in sorted(pairs)])
 
-    def sets(table: pa.Table, asked: pa.Table) -> pa.Table:
-        """The sets that pairs need, sent to the groups of their partners."""
-        if not len(table) or not len(asked):
-            return BY_GROUP.empty_table()
-        gram, first, _ = shingle_sets(ordered(table), size)
-        out = []
-        for to, blob in zip(asked["g_b"].to_pylist(), asked["pairs"].to_pylist(), strict=True):
-            for p in blob:
-                mine = gram[first[p["row_a"]] : first[p["row_a"] + 1]]
-                out.append((to, p["row_b"], pack(np.array([p["node_a"], p["node_b"]]), mine)))
-        return rows_of(BY_GROUP, out)
-
-    def verify(table: pa.Table, given: pa.Table) -> pa.Table:
-        if not len(table) or not len(given):
-            return pa.schema([("node_a", pa.int64()), ("node_b", pa.int64()), ("good", pa.bool_())]).empty_table()
-        gram, first, _ = shingle_sets(ordered(table), size)
-        out = []
-        for r, blob in zip(given["b"].to_pylist(), given["blob"], strict=True):
-            ends, other = unpack(blob.as_py())
-            mine = gram[first[r] : first[r + 1]]
-            shared = len(np.intersect1d(mine, other, assume_unique=True))
-            out.append((int(ends[0]), int(ends[1]), bool(100 * shared >= percent * (len(mine) + len(other) - shared))))
-        return pa.table({"node_a": pa.array([x[0] for x in out], pa.int64()), "node_b": pa.array([x[1] for x in out], pa.int64()), "good": pa.array([x[2] for x in out], pa.bool_())})
+    def sets(table: pa.Table, needed: pa.Table) -> pa.Table:
+        """The sets that pairs need, sent to the places where pairs are verified; no other text is read."""
+        if not len(table) or not len(needed):
+            return SETS.empty_table()
+        rows, at = np.unique(needed["row"].to_numpy(), return_inverse=True)
+        gram, first, node = shingle_sets(ordered(table).take(rows), size)
+        return rows_of(SETS, [(p, int(node[i].view(np.int64)), gram[first[i] : first[i + 1]].tobytes()) for p, i in zip(needed["p"].to_pylist(), at.tolist(), strict=True)])
+
+    def verify(pairs: pa.Table, given: pa.Table) -> pa.Table:
+        held = {x: np.frombuffer(blob.as_buffer(), np.uint64) for x, blob in zip(given["node"].to_pylist(), given["blob"], strict=True)} if len(pairs) else {}
+        good = []
+        for a, b in zip(pairs["node_a"].to_pylist(), pairs["node_b"].to_pylist(), strict=True):
+            shared = len(np.intersect1d(held[a], held[b], assume_unique=True))
+            good.append(100 * shared >= percent * (len(held[a]) + len(held[b]) - shared))
+        return pa.table({"node_a": pairs["node_a"], "node_b": pairs["node_b"], "good": pa.array(good, pa.bool_())})
 
-    bucketed, by_group = "b int, g int, blob binary", "g int, b int, blob binary"
+    bucketed = "b int, g int, blob binary"
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """A pair is verified at a place told by its first node and a salt, so that a node in many pairs is sent to a few places."""
         once = pairs.groupBy("node_a", "node_b").agg(F.min(F.struct("g_a", "row_a", "g_b", "row_b")).alias("at")).select("node_a", "node_b", "at.*")
-        salted = once.groupBy("g_a", "g_b", F.pmod(F.xxhash64("node_b"), F.lit(64)).alias("salt")).agg(F.collect_list(F.struct("node_a", "row_a", "node_b", "row_b")).alias("pairs"))
-        sent = base.groupBy("g").cogroup(salted.withColumnRenamed("g_a", "g").groupBy("g")).applyInArrow(sets, by_group)
-        return base.groupBy("g").cogroup(sent.groupBy("g")).applyInArrow(verify, "node_a long, node_b long, good boolean")
-
-    node_rows = written(base.groupBy("g").applyInArrow(nodes, "g int, row int, doc_id long, n long, node long"), "nodes")
-    keyed = written(base.groupBy("g").applyInArrow(keys, bucketed), "keys")
-    certain = keyed.groupBy("b").applyInArrow(sure, "a long, b long").distinct()
-    asked = keyed.groupBy("b").applyInArrow(wanted, by_group)
-    mapped = written(base.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(maps, bucketed), "bitmaps")
+        placed = once.withColumn("p", F.pmod(F.xxhash64("node_a", F.pmod("node_b", F.lit(64))), F.lit(buckets)).cast("int"))
+        needed = placed.select(F.col("g_a").alias("g"), F.col("row_a").alias("row"), "p").union(placed.select("g_b", "row_b", "p")).distinct()
+        sent = base.groupBy("g").cogroup(needed.groupBy("g")).applyInArrow(sets, "p int, node long, blob binary")
+        return placed.select("p", "node_a", "node_b").groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(verify, "node_a long, node_b long, good boolean")
+
+    prepared = written(base.groupBy("g").applyInArrow(prepare, "kind int, g int, row int, doc_id long, n long, node long, b int, blob binary"), "sets", "kind")
+    node_rows = prepared.where(F.col("kind") == NODE).select("doc_id", "n", "node")
+    lists = written(prepared.where(F.col("kind") == KEY).select("b", "g", "blob").groupBy("b").applyInArrow(listed, "g int, b int, blob binary, node_a long, node_b long"), "lists")
+    certain = lists.where("g is null").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    asked = lists.where("g is not null").select("g", "b", "blob")
+    mapped = written(prepared.where(F.col("kind") == MAP).select("g", "blob").groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(maps, bucketed), "bitmaps")
     first = written(mapped.groupBy("b").applyInArrow(lambda t: named(t, None), _NAMED), "pairs")
     proven = written(verified(first), "verified")
     links = [certain, proven.where("good").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))]
@@ -326,14 +317,15 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, keep:
     edges = links[0].union(links[1])
     for more in links[2:]:
         edges = edges.union(more)
-    part = components(edges)
+    part = components(edges).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     least = node_rows.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
-    labelled = least.join(part, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    whole = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = labelled.join(whole, "component").select("node", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
-    return node_rows.join(of_node.withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    linked = part.join(least, "node").select("node", "component", "salt", "least")
+    # a large component is nobody's alone: its least doc_id goes to every salt
+    whole = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.array([F.lit(x).cast("long") for x in range(SALTS)])))
+    of_node = linked.join(whole, ["component", "salt"]).select(F.col("node").alias("__node"), F.col("component_id").alias("__least"))
+    of_node = of_node.union(least.join(part, "node", "left_anti").select("node", "least"))
+    found = node_rows.join(of_node, (F.col("node") == F.col("__node")) & (F.col("n") > 0), "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("__least") != NO_ID, F.col("__least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
