@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.functions.names import basename, extension, is_under
+from loomdoc.functions.names import basename, dirname, extension, is_under
 from loomdoc.operators import dedupe, intake, metadata, scoring
 from loomdoc.operators.moves import carry_out
 from loomdoc.session import written
@@ -94,6 +94,11 @@ def redundancy_flow(files: DataFrame, quarantine: str, apply: bool = False) -> R
     """files: path, hash, mtime, text. Exact copies go to quarantine under free names, pass by pass; near-duplicates of the end state are told."""
     moves, left, stable = intake.redundancy_passes(files, quarantine)
     moves, left = written(moves, "moves"), written(left, "left")
+    # a name that an earlier run put into quarantine is taken
+    there = files.where(is_under(F.col("path"), F.lit(quarantine))).select(dirname(F.col("path")).alias("folder"), basename(F.col("path")).alias("name")).distinct()
+    asked = moves.select(dirname(F.col("target")).alias("folder"), basename(F.col("target")).alias("name"), F.col("path").alias("seq"))
+    free = intake.free_names(asked, there, "_{n}").select(F.col("seq").alias("path"), F.concat("folder", F.lit("/"), "target").alias("target"))
+    moves = written(moves.drop("target").join(free, "path").select("pass", "path", "keep", "target"), "moves")
     if apply:
         carry_out(((r["path"], r["target"]) for r in moves.orderBy("pass", "path").toLocalIterator()), True)
     near, warnings = dedupe.near_duplicates(left)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections import deque
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -15,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 NEVER_ENTERED = {".git", "node_modules", "__pycache__", ".venv", "venv"}
 PROJECT_MARKERS = {".git", "package.json", "pyproject.toml", "requirements.txt", "Cargo.toml", "go.mod", "tsconfig.json", "pom.xml", "build.gradle", "Gemfile", "composer.json"}
 CHUNK = 1 << 20
+PARTS = 64
 SCHEMA = "path string, name string, ext string, size bigint, mtime timestamp, hash string, error string, skipped boolean"
 
 
@@ -70,8 +72,10 @@ def paths_of(root: str, prune: bool, top: bool = True) -> Iterator[str]:
 
 
 class _Part(InputPartition):
-    def __init__(self, root: str, top: bool) -> None:
-        self.root, self.top = root, top
+    """A folder: own, only the files that lie in it itself; else all below it."""
+
+    def __init__(self, folder: str, own: bool, top: bool) -> None:
+        self.folder, self.own, self.top = folder, own, top
 
 
 class _Reader(DataSourceReader):
@@ -81,16 +85,31 @@ class _Reader(DataSourceReader):
         self.hash = options.get("hash", "true").lower() == "true"
 
     def partitions(self) -> list[_Part]:
-        """A task for each folder below the root, and one for the root's own files."""
-        _, folders, _ = _listed(self.root, True, self.prune)
-        return [_Part(self.root, True), *[_Part(os.path.join(self.root, x), False) for x in folders]]
+        """Folders from the root on, level by level, until there are PARTS of them, so that one large subfolder is several tasks."""
+        own, below = [], deque([(self.root, True)])
+        while below and len(own) + len(below) < PARTS:
+            folder, top = below.popleft()
+            own.append(_Part(folder, True, top))
+            try:
+                _, folders, _ = _listed(folder, top, self.prune)
+            except OSError:  # the task reports it
+                continue
+            below.extend((os.path.join(folder, x), False) for x in folders)
+        return [*own, *[_Part(folder, False, top) for folder, top in below]]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        if partition.top:
-            files, _, _ = _listed(self.root, True, self.prune)
-            yield from (_row(os.path.join(self.root, x), self.hash) for x in files)
-        else:
-            yield from walk(partition.root, self.prune, self.hash, False)
+        try:
+            if not partition.own:
+                yield from walk(partition.folder, self.prune, self.hash, partition.top)
+                return
+            files, _, skipped = _listed(partition.folder, partition.top, self.prune)
+        except OSError as e:
+            yield partition.folder, os.path.basename(partition.folder), "", None, None, None, str(e), False
+            return
+        if skipped:
+            yield partition.folder, os.path.basename(partition.folder), "", None, None, None, None, True
+        for name in files:
+            yield _row(os.path.join(partition.folder, name), self.hash)
 
 
 class _Files(InputPartition):

@@ -45,6 +45,11 @@ def json_rows(lines: DataFrame, schema: str) -> DataFrame:
     return parsed.where("r._corrupt_record is null and r.hash is not null and r.hash <> ''").select("line_no", "r.*").drop("_corrupt_record")
 
 
+def skipped_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """line_no of lines, other than blank ones, that json_rows leaves out: for a warning."""
+    return lines.where(F.trim("value") != "").select("line_no").join(json_rows(lines, schema).select("line_no"), "line_no", "left_anti")
+
+
 def latest(entries: DataFrame) -> DataFrame:
     """One row for each hash: the last line wins."""
     rest = [c for c in entries.columns if c not in ("hash", "line_no")]
