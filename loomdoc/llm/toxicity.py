@@ -1,14 +1,20 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-Method. Voters are lexicon entries (whole words) and patterns (a word that begins with a stem of 4 to 8 bytes); each votes on a
-document or stays silent. SEEDS always vote; the others are taken from labelled rows: entries whose votes are right in at least
-least_precision of at least least_support cases. A generative model (two classes, each voter firing with its own rate in either)
-is fitted by expectation maximisation to the votes alone. Voters that go together more than the classes explain are found by
-their residual correlation and grouped; a group has one vote, which is how the model takes in correlations, and is fitted again. A
-logistic regression is then trained on the posteriors over votes, hits and density, and scores every whole text.
-
-Labels are used only for rows that the caller passes, at most sample_rows of them (those with the least hash of their id): the
-bound of the fit. Votes are counted over all words of every text.
+Method. Voters are lexicon entries (whole words) and patterns (a word that begins with a stem of 4 to 8 bytes); each fires on a
+document or stays silent. SEEDS always take part; the others are chosen from labelled rows: entries that several toxic rows
+have and that speak for a class, toxic (least_support rows) or clean, by the cautious end of what their precision may be; of those
+the most_voters with the most cases. Every document's votes are written as bits and added up by pattern.
+
+The generative model has two classes. Each voter fires with a rate of its own in either class, which also depends on whether its
+parent voter fires: that is how correlations enter, as parameters. A silent voter abstains and says nothing of the class. Parents are a maximum spanning forest of the voters' mutual
+information given the class, from the pair counts of all documents. Rates are fitted by expectation maximisation over the votes of
+all documents, labelled or not; labels give the voters, the class each speaks for, the class share and where the fit begins, no more. A ridge logistic
+regression on votes, hits and density is then trained on the model's posteriors of the labelled texts, and scores every document.
+
+Bounds. Labels come from the rows that the caller passes, at most sample_rows of them (those with the least hash of their id).
+most_voters is the size of the model; the entries it is chosen from are counted without a limit. Votes are counted over all words of
+every text, and patterns over all documents. Each step of the fit sends one row a voter to the driver, the search for parents one row
+a pair of voters that fire together, however many documents there are.
 
 Defined results. A-Z is lower-cased; words are runs of ASCII letters and non-ASCII bytes. A null text is empty and gets the score
 of a text without votes. A doc_id that is labelled twice is toxic if one label says so; labels with a null id or toxic are left
@@ -17,20 +23,24 @@ out. Repeated rows and null ids give a row each. Without labels SEEDS alone vote
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.blocks import Words
+from loomdoc.llm.blocks import Words, slabs_of
 from loomdoc.session import written
 
 #: Insults that vote without having been learned.
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "asshole", "bastard", "retard", "filthy")
 STEMS = range(4, 9)
+SLAB = 4 << 20  # bytes of text whose votes are worked out at once
+ROWS = 4096  # votes that are held as numbers at once
+PARTS = ("total", "fires", "above", "both", "spoken")
+DRAW = 2.0  # cases that draw a rate towards the voter's own
 _WORD, _STEM = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -47,17 +57,10 @@ def _seed_entries() -> np.ndarray:
     return Words(pa.array([" ".join(SEEDS)]), lower=True, letters=True).hashes() ^ _WORD
 
 
-def _slabs(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    total = np.cumsum([len(x or "") for x in column.to_pylist()])
-    for part in np.split(np.arange(len(total)), np.flatnonzero(np.diff(total // size)) + 1):
-        if len(part):
-            yield int(part[0]), int(part[-1]) + 1
-
-
 def _counts(frames: Iterator[pa.RecordBatch], among: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Documents that hold each entry, for a batch of texts."""
     for frame in frames:
-        for a, b in _slabs(frame.column(0)):
+        for a, b in slabs_of(frame.column(0), SLAB):
             words = Words(frame.column(0)[a:b], lower=True, letters=True)
             for row, entry in _features(words):
                 if among is not None:
@@ -70,12 +73,11 @@ def _counts(frames: Iterator[pa.RecordBatch], among: np.ndarray | None) -> Itera
 
 @dataclass
 class Voters:
-    """entries: sorted hashes; precision: of weight labelled votes, as a prior; group: voters of a group go together."""
+    """entries: sorted hashes; toxic: the class each speaks for; fires: its rate in labelled rows, clean and toxic."""
 
     entries: np.ndarray
-    precision: np.ndarray
-    weight: np.ndarray
-    group: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    toxic: np.ndarray
+    fires: np.ndarray
 
     def hits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each voter in each text, and the texts' word counts."""
@@ -90,61 +92,137 @@ class Voters:
 
 @dataclass
 class LabelModel:
-    """Accuracy of each group's vote, the share of the class, and its share where every voter is silent."""
+    """share: of the toxic class; silent: of it among rows where no voter fires. parent: of each voter, -1 for none.
+    rates[voter, class, whether the parent fires]: of firing. prior: log odds of the toxic class before any vote, None: those of share."""
 
-    accuracy: np.ndarray
     share: float
-    silent: float
+    parent: np.ndarray
+    rates: np.ndarray
+    silent: float = 0.02
+    prior: float | None = None
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """A lone vote is as sure as its accuracy; each further one adds what it is surer than the share."""
-        odds = lambda x: np.log(x / (1 - x))
-        z = odds(self.share) + votes @ (odds(self.accuracy) - odds(self.share))
-        return np.where(votes.any(1), 1 / (1 + np.exp(-np.clip(z, -40, 40))), self.silent)
+    def before(self) -> float:
+        return float(np.log(self.share / (1 - self.share))) if self.prior is None else self.prior
 
+    def above(self, votes: np.ndarray) -> np.ndarray:
+        """Whether each voter's parent fires."""
+        return np.where(self.parent >= 0, votes[:, self.parent], 0)
 
-def _maximise(votes: np.ndarray, precision: np.ndarray, weight: np.ndarray, share: float, rounds: int) -> tuple[LabelModel, np.ndarray]:
-    """Expectation maximisation: accuracies from the posteriors of what a voter votes on, and from weight labelled votes."""
-    model = LabelModel(precision, share, share / 4)
-    p = model.posterior(votes)
-    for _ in range(rounds):
-        accuracy = np.clip((p @ votes + weight * precision) / (votes.sum(0) + weight), 0.05, 0.995)
-        silent = float(np.clip((share * len(p) - p[votes.any(1)].sum()) / max(1, (~votes.any(1)).sum()), 0.001, share / 2))
-        model = LabelModel(accuracy, share, silent)
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """The probability of the toxic class for rows of 0 and 1. A silent voter abstains: only those that fire speak."""
+        fires = np.log(self.rates[:, 1]) - np.log(self.rates[:, 0])
+        z = votes @ fires[:, 0] + (votes * self.above(votes)) @ (fires[:, 1] - fires[:, 0])
+        p = 1 / (1 + np.exp(-np.clip(z + self.before(), -40, 40)))
+        return np.where(votes.any(1), p, self.silent)
+
+    def expected(self, votes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """[class, voter]: weight of all rows, of those where the voter fires, its parent does, both do, and any voter does; n rows of each kind."""
+        p, held = self.posterior(votes), self.above(votes)
+        return np.stack([np.stack([np.full(votes.shape[1], w.sum()), w @ votes, w @ held, w @ (votes * held), np.full(votes.shape[1], w[votes.any(1)].sum())], 1) for w in (n * (1 - p), n * p)])
+
+    def maximised(self, expected: np.ndarray) -> LabelModel:
+        """The rates that make these weights likeliest, drawn a little towards the voter's rate whatever its parent does; and the share
+        of silent rows that makes up the share of all, or, where none can, a prior nearer to it."""
+        total, fires, above, both, any_ = np.moveaxis(expected, 2, 0)  # [class, voter] each
+        rate = (fires + 0.5) / (total + 1)
+        of = [((fires - both) + DRAW * rate) / ((total - above) + DRAW), (both + DRAW * rate) / (above + DRAW)]
+        rows, spoken = total[:, 0].sum(), any_[:, 0]
+        silent = float(np.clip((self.share * rows - spoken[1]) / max(1.0, rows - spoken.sum()), 0.001, self.share / 2))
+        rates = np.clip(np.moveaxis(np.stack(of, 2), 0, 1), 1e-5, 1 - 1e-5)
+        held = float(np.clip((spoken[1] + silent * (rows - spoken.sum())) / max(1.0, rows), 1e-6, 1 - 1e-6))
+        return LabelModel(self.share, self.parent, rates, silent, self.before() + float(np.log(self.share / (1 - self.share)) - np.log(held / (1 - held))))
+
+    def better_than_chance(self, toxic: np.ndarray) -> LabelModel:
+        """Voters that would speak for the other class say nothing instead, so that the classes can't change places."""
+        wrong = (self.rates[:, 1] < self.rates[:, 0]) == toxic[:, None]
+        rates = np.where(wrong[:, None], self.rates.mean(1, keepdims=True), self.rates)
+        return LabelModel(self.share, self.parent, rates, self.silent, self.prior)
+
+
+def parents(pairs: np.ndarray, total: np.ndarray, least: float = 10.0) -> np.ndarray:
+    """A parent for each voter, or -1: the maximum spanning forest of mutual information given the class, over voters that fire
+    together more often than the classes explain; voters that shut each other out are abstentions of each other.
+
+    pairs[class]: weight of rows where both of two voters fire, on the diagonal where one does; total[class]: of all rows. Only
+    pairs with a likelihood ratio statistic over least are joined.
+    """
+    k = pairs.shape[1]
+    gain = np.zeros((k, k))
+    for both, n in zip(pairs, total, strict=True):
+        one = np.diag(both)
+        for x, a, b in ((both, one[:, None], one[None, :]), (one[:, None] - both, one[:, None], n - one[None, :]), (one[None, :] - both, n - one[:, None], one[None, :]), (n - one[:, None] - one[None, :] + both, n - one[:, None], n - one[None, :])):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain += np.where(x > 1e-9, 2 * x * np.log(x * n / (a * b)), 0)
+    one = np.diagonal(pairs, axis1=1, axis2=2)
+    gain[pairs.sum(0) <= (one[:, :, None] * one[:, None, :] / np.maximum(total, 1e-9)[:, None, None]).sum(0)] = 0
+    out, best, to = np.full(k, -1), np.full(k, -np.inf), np.full(k, -1)
+    left = np.ones(k, bool)
+    for _ in range(k):  # from the part so far, the voter with the strongest tie; else another root
+        j = int(np.argmax(np.where(left, best, -np.inf))) if np.isfinite(best[left]).any() else int(np.flatnonzero(left)[0])
+        left[j] = False
+        out[j] = to[j] if best[j] > least else -1
+        nearer = left & (gain[j] > best)
+        best[nearer], to[nearer] = gain[j][nearer], j
+    return out
+
+
+def _bits(votes: pa.Array, k: int) -> np.ndarray:
+    """Rows of 0 and 1 from packed votes."""
+    return np.unpackbits(np.frombuffer(b"".join(votes.to_pylist()), np.uint8).reshape(len(votes), (k + 7) // 8), axis=1, count=k).astype(float)
+
+
+def fit_label_model(patterns: DataFrame, voters: Voters, share: float, rounds: int = 12) -> LabelModel:
+    """patterns: votes (packed), n. Each round is one pass over them; it ends early where no rate moves any more."""
+    k = len(voters.entries)
+    model = LabelModel(share, np.full(k, -1), np.repeat(np.clip(voters.fires, 1e-5, 1 - 1e-5)[:, :, None], 2, axis=2), share / 4)
+
+    def over(step: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], schema: str) -> DataFrame:
+        def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                for a in range(0, len(frame), ROWS):
+                    part = frame.slice(a, ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in step(_bits(part.column(0), k), part.column(1).to_numpy(zero_copy_only=False).astype(float))], [x.split()[0] for x in schema.split(", ")])
+
+        return patterns.mapInArrow(work, schema)
+
+    def pair_step(votes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         p = model.posterior(votes)
-    return model, p
-
-
-def fit_label_model(votes: np.ndarray, precision: np.ndarray, weight: np.ndarray, share: float, rounds: int = 20, together: float = 0.15) -> tuple[LabelModel, np.ndarray]:
-    """votes: (documents, voters) of 0 and 1; precision: of weight labelled votes each. Returns the model of the groups' votes, and the group of each voter."""
-    k = votes.shape[1]
-    group = np.arange(k)
-    _, p = _maximise(votes, precision, weight, share, rounds)
-    if k > 1 and len(votes) > 1:
-        fires = np.stack([(1 - p) @ votes / max(1e-9, (1 - p).sum()), p @ votes / max(1e-9, p.sum())])
-        left = votes - (np.outer(p, fires[1]) + np.outer(1 - p, fires[0]))
-        scale = np.sqrt((left**2).sum(0) + 1e-9)
-        correlation = (left.T @ left) / np.outer(scale, scale)
-        for a, b in np.argwhere(np.triu(correlation > together, 1)):
-            group[group == group[b]] = group[a]
-    mean = lambda x: np.array([np.average(x[group == g], weights=weight[group == g]) for g in np.unique(group)])
-    model, _ = _maximise(grouped_votes(votes > 0, group).astype(float), mean(precision), mean(weight), share, rounds)
-    return model, group
-
-
-def grouped_votes(fired: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Voters that go together have one vote: that any of them fires."""
-    return np.stack([fired[:, group == g].any(1) for g in np.unique(group)], 1) if len(group) else np.zeros((len(fired), 0), bool)
+        clean, toxic = ((votes * w[:, None]).T @ votes for w in (n * (1 - p), n * p))
+        i, j = np.nonzero(np.triu(clean + toxic))
+        return np.append(i, -1), np.append(j, -1), np.append(clean[i, j], (n * (1 - p)).sum()), np.append(toxic[i, j], (n * p).sum())
+
+    def rate_step(votes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        e = model.expected(votes, n)
+        return (np.arange(k), *e[0].T, *e[1].T)
+
+    pairs, total = np.zeros((2, k, k)), np.zeros(2)
+    for r in over(pair_step, "i long, j long, clean double, toxic double").groupBy("i", "j").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect():
+        for y, x in ((0, r["clean"]), (1, r["toxic"])):
+            if r["i"] < 0:
+                total[y] = x
+            else:
+                pairs[y, r["i"], r["j"]] = pairs[y, r["j"], r["i"]] = x
+    if not total.any():
+        return model
+    model.parent = parents(pairs, total)
+    names = [f"{x}{y}" for y in "01" for x in PARTS]
+    for _ in range(rounds):
+        rows = over(rate_step, "k long, " + ", ".join(f"{x} double" for x in names)).groupBy("k").agg(*[F.sum(x).alias(x) for x in names]).toArrow().sort_by("k")
+        new = model.maximised(np.stack([np.stack([rows[f"{x}{y}"].to_numpy() for x in PARTS], 1) for y in "01"]))
+        new = new.better_than_chance(voters.toxic)
+        moved = np.abs(np.log(new.rates) - np.log(model.rates)).max()
+        model = new
+        if moved < 0.02:
+            break
+    return model
 
 
-def _design(hits: np.ndarray, n_words: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Features of the classifier: whether any voter fires, a group's vote each, hits, hits a word, and 1.
+def _design(votes: np.ndarray, hits: np.ndarray, n_words: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Features of the classifier: whether any toxic voter fires, each voter's vote, hits (of the toxic voter with most), hits a word, and 1.
 
     The first speaks for voters that never fired on the sample, such as seeds in another corpus.
     """
-    votes = np.column_stack([(hits > 0).any(1), grouped_votes(hits > 0, group)]).astype(float)
-    total = hits.max(1, initial=0) if hits.shape[1] else np.zeros(len(hits))
-    return np.column_stack([votes, np.log1p(total), np.minimum(1, 20 * total / np.maximum(n_words, 1)), np.ones(len(hits))])
+    return np.column_stack([votes[:, toxic].any(1), votes, np.log1p(hits), np.minimum(1, 20 * hits / np.maximum(n_words, 1)), np.ones(len(votes))]).astype(float)
 
 
 def fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = 3.0, rounds: int = 25) -> np.ndarray:
@@ -165,80 +243,97 @@ def fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = 3.0, rounds:
 @dataclass
 class Classifier:
     voters: Voters
-    model: LabelModel
     weights: np.ndarray
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        hits, n_words = self.voters.hits(column)
-        return 1 / (1 + np.exp(-np.clip(_design(hits, n_words, self.voters.group) @ self.weights, -30, 30)))
+    def score(self, votes: np.ndarray, hits: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_design(votes, hits, n_words, self.voters.toxic) @ self.weights, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, least_support: int = 6, least_precision: float = 0.85, most_voters: int = 256) -> Classifier:
-    """Learn from labels (doc_id, toxic) of docs (doc_id, text), from at most sample_rows of the labels."""
-    spark = docs.sparkSession
+def labelled_texts(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """text, toxic of at most sample_rows labelled ids; copies of a text count once."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # at most sample_rows pairs of numbers
-    known = spark.createDataFrame([tuple(r) for r in known.collect()], "known_id long, toxic int")
+    known = docs.sparkSession.createDataFrame([tuple(r) for r in known.collect()], "known_id long, toxic int")
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = plain.join(F.broadcast(known), plain["doc_id"] == known["known_id"]).groupBy(F.xxhash64("text"), F.length("text")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = written(rows.select("text", "toxic"), "labelled")  # copies of a text count once
-    n_all, n_toxic = rows.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
-    share = min(0.5, max(0.01, n_toxic / n_all)) if n_all else 0.1
+    return written(rows.select("text", "toxic"), "labelled")
+
+
+def choose_voters(rows: DataFrame, n_toxic: int, n_clean: int, least_support: int, least_precision: float, most_voters: int) -> Voters:
+    """Voters for either class from labelled texts (text, toxic), by counts of the rows of each class that hold an entry."""
     count = lambda of, among: of.select("text").mapInArrow(lambda f: _counts(f, among), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    toxic = count(rows.where("toxic = 1"), None).where(F.col("n") >= max(least_support, n_toxic // 400)).orderBy(F.desc("n"), "entry").limit(20_000).collect()
-    found = {np.uint64(r["entry"] & (1 << 64) - 1): r["n"] for r in toxic}
-    among = np.sort(np.array(list(found), np.uint64))
-    clean = {np.uint64(r["entry"] & (1 << 64) - 1): r["n"] for r in count(rows.where("toxic = 0"), among).collect()} if len(found) else {}
-    # the lower end of what a voter's precision may be, so that few votes that happen to be right don't make one
-    sure = []
-    for e, n in found.items():
-        m = n + clean.get(e, 0)
-        low = (n + 0.5) / (m + 1) - 1.0 * np.sqrt((n + 0.5) * (m - n + 0.5) / (m + 1) ** 3)
-        if low >= least_precision:
-            sure.append(((n + 0.5) / (m + 1), n, e))
-    sure = sorted(sure, key=lambda x: (-x[1] * x[0], int(x[2])))[:most_voters]
-    entries = {int(e): (p, min(n, 50.0)) for p, n, e in sure}
+    found = count(rows.where("toxic = 1"), None).where("n > 1").toArrow().sort_by("entry")  # of the sample's toxic texts
+    entry, n = found["entry"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(entry)
+    entry, n, m = entry[order], n[order], np.zeros(len(order), np.int64)
+    if len(entry):
+        clean = count(rows.where("toxic = 0"), entry).toArrow()
+        m[np.searchsorted(entry, clean["entry"].to_numpy().view(np.uint64))] = clean["n"].to_numpy()
+    # precision for the toxic class, and how far it may be off, so that few cases that happen to be right don't make a voter
+    share, precision = n_toxic / max(1, n_toxic + n_clean), (n + 0.5) / (n + m + 1)
+    off = np.sqrt((n + 0.5) * (m + 0.5) / (n + m + 1.0) ** 3)
+    toxic = np.flatnonzero((n >= least_support) & (precision - off >= least_precision))
+    clean = np.flatnonzero(precision + 2 * off <= share / 2)
+    most = most_voters // 8  # of the clean class, whose words say less
+    pick = np.concatenate([toxic[np.lexsort((entry[toxic], -n[toxic] * precision[toxic]))][: most_voters - most], clean[np.lexsort((entry[clean], -m[clean]))][:most]])
+    chosen = {int(entry[i]): (bool(i in set(toxic.tolist())), (m[i] + 0.5) / (n_clean + 1), (n[i] + 0.5) / (n_toxic + 1)) for i in pick.tolist()}
     for e in _seed_entries():
-        entries.setdefault(int(e), (0.9, 5.0))
-    keys = np.array(sorted(entries), np.uint64)
-    voters = Voters(keys, *(np.array([entries[int(e)][i] for e in keys]) for i in (0, 1)))
+        chosen.setdefault(int(e), (True, 0.0005, 0.02))
+    keys = np.array(sorted(chosen), np.uint64)
+    return Voters(keys, np.array([chosen[int(e)][0] for e in keys]), np.array([chosen[int(e)][1:] for e in keys]))
+
+
+VOTED = ("votes", "hits", "n_words")
+
+
+def _voted(voters: Voters, plain: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of keep, votes (a bit for each voter), hits (of the toxic voter with most), n_words of each text."""
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
 
     def vote(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for a, b in _slabs(frame.column(0)):
-                hits, n_words = voters.hits(frame.column(0)[a:b])
-                packed = [np.minimum(h, 255).astype(np.uint8).tobytes() for h in hits]
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(n_words, pa.int64())], ["hits", "n_words"])
-
-    # at most sample_rows rows of a byte for each voter
-    table = rows.select("text").mapInArrow(vote, "hits binary, n_words long").orderBy("hits", "n_words").toPandas()
-    hits = np.frombuffer(b"".join(map(bytes, table["hits"])), np.uint8).reshape(len(table), len(keys)).astype(np.int32)
-    n_words = table["n_words"].to_numpy(np.int64)
-    votes = (hits > 0).astype(float)
-    model, voters.group = fit_label_model(votes, voters.precision, voters.weight, share)
-    x, p = _design(hits, n_words, voters.group), model.posterior(grouped_votes(hits > 0, voters.group).astype(float))
-    if not len(x):  # nothing to learn from: any seed makes a text likelier toxic than not
-        weights = np.concatenate([[4.0], np.zeros(len(np.unique(voters.group))), [1.0, 0.0, -3.0]])
-    else:
-        weights = fit_logistic(x, p)
-    return Classifier(voters, model, weights)
-
-
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple[str, ...] = (), **options: float) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 if score >= threshold, else 0), and the columns of keep, for docs (doc_id, text)."""
-    classifier = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))  # at most most_voters + len(SEEDS) numbers
-    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].alias(c) for c in keep if c != "text"])
+            for a, b in slabs_of(frame.column("text"), SLAB):
+                hits, n_words = voters.hits(frame.column("text")[a:b])
+                packed = [x.tobytes() for x in np.packbits(hits > 0, axis=1)]
+                yield pa.RecordBatch.from_arrays([*[frame.column(c)[a:b] for c in keep], pa.array(packed, pa.binary()), pa.array(hits[:, voters.toxic].max(1, initial=0).astype(np.int64)), pa.array(n_words, pa.int64())], [*keep, *VOTED])
+
+    return plain.mapInArrow(vote, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "votes binary, hits long, n_words long"]))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple[str, ...] = (), sample_rows: int = 30_000, least_support: int = 6, least_precision: float = 0.85, most_voters: int = 256) -> DataFrame:
+    """doc_id, score (0 to 1), predicted (1 if score >= threshold, else 0), and the columns of keep, for docs (doc_id, text).
+
+    labels: doc_id, toxic. Texts are read once for their votes, which the fit and the scores then take.
+    """
+    rows = labelled_texts(docs, labels, sample_rows)
+    n_all, n_toxic = rows.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
+    share = min(0.5, max(0.01, n_toxic / n_all)) if n_all else 0.1
+    voters = choose_voters(rows, n_toxic, n_all - n_toxic, least_support, least_precision, most_voters)
+    k = len(voters.entries)
+    named = {c: f"__{i}" for i, c in enumerate(keep)}  # so that no column of keep clashes with votes, hits or n_words
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].alias(x) for c, x in named.items()])
+    voted = written(_voted(voters, plain, ["doc_id", *named.values()]), "votes")
+    patterns = written(voted.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
+    model = fit_label_model(patterns, voters, share)
+    # at most sample_rows rows of a bit for each voter
+    table = _voted(voters, rows, []).toArrow().sort_by([(c, "ascending") for c in VOTED]).combine_chunks()
+    if len(table):
+        votes = _bits(table["votes"].combine_chunks(), k)
+        weights = fit_logistic(_design(votes, table["hits"].to_numpy(), table["n_words"].to_numpy(), voters.toxic), model.posterior(votes))
+    else:  # nothing to learn from: any seed makes a text likelier toxic than not
+        weights = np.concatenate([[4.0], np.zeros(k), [1.0, 0.0, -3.0]])
+    classifier = docs.sparkSession.sparkContext.broadcast(Classifier(voters, weights))  # at most most_voters + len(SEEDS) voters
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for a, b in _slabs(frame.column(1)):
-                s = classifier.value.score(frame.column(1)[a:b])
-                rest = [frame.column(c)[a:b] for c in keep]
-                yield pa.RecordBatch.from_arrays([frame.column(0)[a:b], pa.array(s), pa.array((s >= threshold).astype(np.int32)), *rest], ["doc_id", "score", "predicted", *keep])
+            for a in range(0, len(frame), ROWS):
+                part = frame.slice(a, ROWS)
+                s = classifier.value.score(_bits(part.column("votes"), k), *[part.column(c).to_numpy(zero_copy_only=False) for c in VOTED[1:]])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *[part.column(x) for x in named.values()]], ["doc_id", "score", "predicted", *keep])
 
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
-    return plain.mapInArrow(score, ", ".join(["doc_id long, score double, predicted int", *[f"`{c}` {kinds[c]}" for c in keep]]))
+    return voted.mapInArrow(score, ", ".join(["doc_id long, score double, predicted int", *[f"`{c}` {kinds[x]}" for c, x in named.items()]]))
 
 
 def may_teach(doc_id: Column) -> Column:
