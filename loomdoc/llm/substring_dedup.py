@@ -2,9 +2,11 @@
 
 Method. Each window of min_words words has an anchor, the least hash of its three-word grams, so equal windows have equal
 anchors. Runs of windows with one anchor are segments. Anchors (not words) of all segments meet in buckets; those that only
-one document has can't match and go no further. The other segments are sent to the shard of their anchor, where distinct
-segments are indexed once (suffix order, wavelet matrix over word numbers) and streamed through backward search, which gives
-each window's suffix interval; the least doc_id in the interval decides. Copies of a segment share its answer.
+one document has can't match and go no further. Equal segments of a group are settled there: only the least doc_id's goes on, so
+a passage that all documents have comes from each group once. Segments of an anchor that HOT or more have are cut again, by the
+least hash of their windows' six-word grams, so that a frequent anchor is no one shard's. Segments are sent to the shard of their
+anchor, where distinct ones are indexed once (suffix order, wavelet matrix over word numbers) and streamed through backward search,
+which gives each window's matching statistic and suffix interval; from min_words on the least doc_id in the interval decides.
 
 Defined results. Words are runs of bytes other than \\x20 and \\x09-\\x0D. Null text: no words. A null doc_id counts as
 larger than any other. Rows with the same doc_id are documents of their own that never remove each other's words. Windows are
@@ -20,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomdoc.llm.blocks import Words, gram_hashes, group_count, grouped, ids_of, ordered, pack, rows_of, spans, split_by, unpack_all
+from loomdoc.llm.blocks import Words, gram_hashes, group_count, grouped, ids_of, mix, ordered, pack, rows_of, spans, split_by, unpack_all
 
 ANCHOR = 3
+HOT = 4096  # segments of an anchor from which on they are dealt by six words instead of three
 LONGEST = 64  # words of a segment, or three times min_words if that is more; longer ones are cut with an overlap of min_words - 1
 
 
@@ -138,22 +141,48 @@ def _runs(words: Words, size: int) -> tuple[np.ndarray, ...]:
     return h, least[at[begin]], row[at[begin]], at[begin], count
 
 
+def _contents(words: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of all words of each segment; words of one after those of the other."""
+    begin = np.cumsum(length) - length
+    with np.errstate(over="ignore"):
+        weighted = words * np.multiply.accumulate(np.full(int(length.max(initial=0)) + 1, np.uint64(0xD6E8FEB86659FD93)))[spans(length)]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighted)])
+        return total[begin + length] - total[begin] + length.astype(np.uint64)
+
+
+def _finer(h: np.ndarray, size: int, anchor: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments cut where the least hash of their windows' six-word grams changes: key, segment, first window, number of windows."""
+    width = min(2 * ANCHOR, size)
+    grams = gram_hashes(h, width)
+    window = np.repeat(at, count) + spans(count)
+    least = grams[window]
+    for j in range(1, size - width + 1):
+        least = np.minimum(least, grams[window + j])
+    of = np.repeat(np.arange(len(at)), count)
+    new = np.ones(len(window), bool)
+    new[1:] = (of[1:] != of[:-1]) | (least[1:] != least[:-1])
+    begin = np.flatnonzero(new)
+    return mix(anchor[of[begin]] ^ least[begin]), of[begin], window[begin], np.diff(begin, append=len(window))
+
+
 def _shard(table: pa.Table, size: int) -> list[tuple[int, bytes]]:
     """Windows of a shard's segments that a smaller doc_id has too, by group."""
     group, row, doc, start, length, words = [], [], [], [], [], []
+    out = []
     for g, blob in zip(table["g"].to_pylist(), table["blob"], strict=True):
-        r, d, s, n, w = unpack_all([blob])
-        group.append(np.full(len(r), g))
-        for into, x in zip((row, doc, start, length, words), (r, d, s, n, w), strict=True):
+        found = unpack_all([blob])
+        if len(found) == 2:  # what a group has settled by itself
+            out.append((g, blob.as_py()))
+            continue
+        group.append(np.full(len(found[0]), g))
+        for into, x in zip((row, doc, start, length, words), found, strict=True):
             into.append(x)
+    if not group:
+        return out
     group, row, doc, start, length, words = map(np.concatenate, (group, row, doc, start, length, words))
     length = length.astype(np.int64)
     begin = np.cumsum(length) - length
-    # distinct segments: a hash of all their words
-    with np.errstate(over="ignore"):
-        weighted = words * np.multiply.accumulate(np.full(int(length.max(initial=0)) + 1, np.uint64(0xD6E8FEB86659FD93)))[spans(length)]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighted)])
-        content = total[begin + length] - total[begin] + length.astype(np.uint64)
+    content = _contents(words, length)
     _, some, which = np.unique(content, return_index=True, return_inverse=True)
     owner = np.full(len(some), np.iinfo(np.int64).max)
     np.minimum.at(owner, which, doc)
@@ -170,8 +199,8 @@ def _shard(table: pa.Table, size: int) -> list[tuple[int, bytes]]:
     last = np.repeat(place, windows) + spans(windows) + size - 1
     least = owner[segment]
     for i in range(0, len(last), 1 << 18):
-        lo, hi, _ = index.matching(text, last[i : i + (1 << 18)], size, alone=True)
-        shared = np.flatnonzero(hi - lo > 1)
+        lo, hi, matched = index.matching(text, last[i : i + (1 << 18)], size, alone=True)
+        shared = np.flatnonzero((matched >= size) & (hi - lo > 1))
         if len(shared):
             least[i + shared] = np.minimum(least[i + shared], least_in(of_suffix, lo[shared], hi[shared]))
     offset = np.cumsum(windows) - windows
@@ -180,7 +209,7 @@ def _shard(table: pa.Table, size: int) -> list[tuple[int, bytes]]:
     inner = spans(many)
     removed = least[np.repeat(offset[which], many) + inner] < doc[hit]
     hit, inner = hit[removed], inner[removed]
-    return [(g, pack(row[hit[x]], (start[hit[x]] + inner[x]).astype(np.uint32))) for g, x in split_by(group[hit])]
+    return out + [(g, pack(row[hit[x]], (start[hit[x]] + inner[x]).astype(np.uint32))) for g, x in split_by(group[hit])]
 
 
 BY_GROUP = pa.schema([("g", pa.int32()), ("blob", pa.binary())])
@@ -206,25 +235,40 @@ def repeated_windows(docs: DataFrame, groups: int, min_words: int) -> DataFrame:
         head[1:] = anchor[order][1:] != anchor[order][:-1]
         head = np.flatnonzero(head)
         several = np.minimum.reduceat(ident, head) != np.maximum.reduceat(ident, head)
-        keep = order[np.repeat(several, np.diff(head, append=len(order)))]
-        return rows_of(BY_GROUP, [(g, pack(row[keep[x]], at[keep[x]])) for g, x in split_by(group[keep])])
+        many = np.diff(head, append=len(order))
+        keep, hot = order[np.repeat(several, many)], np.repeat(many[several] > HOT, many[several]).astype(np.uint8)
+        return rows_of(BY_GROUP, [(g, pack(row[keep[x]], at[keep[x]], hot[x])) for g, x in split_by(group[keep])])
 
     def segments(table: pa.Table, wanted: pa.Table) -> pa.Table:
         if not len(table) or not len(wanted):
             return BY_BUCKET.empty_table()
         table = ordered(table)
         g, words, ids = table["g"][0].as_py(), Words(table["text"]), ids_of(table)
-        row, place = unpack_all(wanted["blob"])
+        row, place, hot = unpack_all(wanted["blob"])
         h, anchor, of, at, count = _runs(words, size)
-        ask = (row.astype(np.int64) << 32) | place
-        have = (of << 32) | (at - words.first[of])
-        pick = np.flatnonzero(np.isin(have, ask))
-        length = count + size - 1
+        ask, have = (row.astype(np.int64) << 32) | place, (of << 32) | (at - words.first[of])
+        order = np.argsort(ask)
+        place = np.minimum(np.searchsorted(ask[order], have), len(ask) - 1)
+        pick = np.flatnonzero(ask[order][place] == have)
+        hot = hot[order][place[pick]] > 0
+        cold, hot = pick[~hot], pick[hot]
+        key, of_hot, at_hot, count_hot = _finer(h, size, anchor[hot], at[hot], count[hot])
+        key, of = np.concatenate([anchor[cold], key]), np.concatenate([of[cold], of[hot][of_hot]])
+        at, count = np.concatenate([at[cold], at_hot]), np.concatenate([count[cold], count_hot])
+        length, doc, start = count + size - 1, ids[of], at - words.first[of]
+        # equal segments of a group meet here: but for the least doc_id, all their windows go, and they go no further
+        _, which = np.unique(_contents(h[np.repeat(at, length) + spans(length)], length), return_inverse=True)
+        owner = np.full(len(which), np.iinfo(np.int64).max)
+        np.minimum.at(owner, which, doc)
+        settled, left = np.flatnonzero(doc > owner[which]), np.flatnonzero(doc == owner[which])
         out = []
-        for b, x in split_by((anchor[pick] % np.uint64(buckets)).astype(np.int64)):
-            x = pick[x]
+        if len(settled):
+            many = count[settled]
+            out.append((g % buckets, g, pack(np.repeat(of[settled], many).astype(np.uint32), (np.repeat(start[settled], many) + spans(many)).astype(np.uint32))))
+        for b, x in split_by((key[left] % np.uint64(buckets)).astype(np.int64)):
+            x = left[x]
             n = length[x]
-            out.append((b, g, pack(of[x].astype(np.uint32), ids[of[x]], (at[x] - words.first[of[x]]).astype(np.uint32), n.astype(np.uint32), h[np.repeat(at[x], n) + spans(n)])))
+            out.append((b, g, pack(of[x].astype(np.uint32), doc[x], start[x].astype(np.uint32), n.astype(np.uint32), h[np.repeat(at[x], n) + spans(n)])))
         return rows_of(BY_BUCKET, out)
 
     def shard(table: pa.Table) -> pa.Table:
