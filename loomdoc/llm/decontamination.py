@@ -5,7 +5,7 @@ MinHash); k is set for each partition from its largest size u as 2 * floor((1 -
 threshold of an item's shingles misses at most floor((1 - threshold) * n) of them, so at least k minus that many of the sketch are
 among the document's shingles: such documents are the candidates, and none is lost, however long the document is. A candidate is
 then verified with all of the item's shingles. Items are the stated query set: they come to the driver in blocks of at most
-block_bytes of text, and each block is searched in one pass over the documents.
+block_bytes of text, and each block is searched in one pass over the documents; with several, one is broadcast at a time.
 
 Defined results. A-Z is lower-cased; words are runs of bytes other than \\x20 and \\x09-\\x0D; shingles are size consecutive words.
 Items with fewer words are one shingle of all their words; items without words or with a null id or text match nothing. Null
@@ -20,10 +20,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.blocks import Words, gram_hashes
+from loomdoc.llm.blocks import Words, gram_hashes, slabs_of
+from loomdoc.session import written
 
 SCHEMA = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
 
@@ -110,24 +112,26 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
     spark = docs.sparkSession
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
-    def one(block: Items) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)  # of at most block_bytes of text
-
+    def one(shared: Broadcast[Items]) -> DataFrame:
         def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for frame in frames:
-                sizes = np.cumsum([len(x or "") for x in frame.column(1).to_pylist()])
-                for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(sizes // slab)) + 1):
-                    if not len(part):
-                        continue
-                    a, b = int(part[0]), int(part[-1]) + 1
+                for a, b in slabs_of(frame.column(1), slab):
                     row, item, n = block.search(frame.column(1)[a:b], threshold)
                     total = block.total[item]
                     yield pa.RecordBatch.from_arrays([frame.column(0)[a:b].take(pa.array(row)), pa.array(block.ids[item]), pa.array(n), pa.array(total), pa.array(n / np.maximum(total, 1))], ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
 
         return plain.mapInArrow(search, SCHEMA)
 
-    found = [one(Items(ids, texts, size, threshold)) for ids, texts in _blocks(items, block_bytes)]
+    found, left = [], _blocks(items, block_bytes)
+    block = next(left, None)
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Items(*block, size, threshold))  # of at most block_bytes of text
+        block = next(left, None)
+        if block is None and not found:
+            return one(shared)
+        found.append(written(one(shared), "found"))
+        shared.destroy()  # before the next block is sent
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], SCHEMA)
 
 
