@@ -26,7 +26,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕ
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: true for a text that fails, over the columns text and words."""
+    """rejects: true for a text that fails, over text, words and the columns of statistics()."""
 
     name: str
     rejects: Column
@@ -42,14 +42,13 @@ def _lines() -> Column:
 
 def rules() -> list[Rule]:
     """Limits are shares of words, characters or lines."""
-    n, lines = F.size("words"), _lines()
-    chars = F.char_length(F.array_join("words", ""))
+    n, chars = F.col("n_words"), F.col("word_chars")
     return [
-        Rule("symbols", 10 * _count_of(SYMBOLS) > n),
+        Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("exclamation", 2 * _count_of("!") > n),
         Rule("shouting", 10 * _count_of(UPPER) > 3 * F.char_length("text")),
         Rule("word_length", (chars < 2 * n) | (chars > 15 * n)),
-        Rule("repeated_lines", 2 * (F.size(lines) - F.size(F.array_distinct(lines))) > F.size(lines)),
+        Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
         Rule("vocabulary", 100 * F.size(F.array_distinct("words")) < 15 * n),
     ]
 
@@ -64,9 +63,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return _held(plain, F.filter(F.split("text", BLANK), lambda x: x != "").alias("words"))
 
 
-def order_rules(texts: DataFrame, given: list[Rule], sample_bytes: int = 4 << 20) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds over the sample, share rejected), by rejection per cost."""
-    sample = texts.sample(min(1.0, sample_bytes / max(1, plan_bytes(texts))), seed=7).persist()
+def order_rules(docs: DataFrame, given: list[Rule], sample_bytes: int = 4 << 20) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds over the sample, share rejected), by rejection per cost. The sample is drawn before anything is worked out."""
+    sample = statistics(docs.sample(min(1.0, sample_bytes / max(1, plan_bytes(docs))), seed=7)).persist()
     try:
         n = sample.count()
         found = []
@@ -90,10 +89,10 @@ def cascade(ordered: list[Rule]) -> Column:
     return verdict
 
 
-def _with_statistics(texts: DataFrame) -> DataFrame:
-    """texts with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, text, words, n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words of docs (doc_id, text)."""
     lines = _lines()
-    hashed = _held(texts, F.transform("words", lambda x: F.xxhash64(x)).alias("h"), lines.alias("lines"))
+    hashed = _held(_texts(docs), F.transform("words", lambda x: F.xxhash64(x)).alias("h"), lines.alias("lines"))
     n = F.size("h")
     pairs = F.zip_with("h", F.slice("h", F.lit(2), n), lambda a, b: F.xxhash64(a, b))
     triples = F.zip_with(pairs, F.slice("h", F.lit(3), n), lambda a, b: F.xxhash64(a, b))
@@ -114,6 +113,7 @@ def _with_statistics(texts: DataFrame) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _count_of(SYMBOLS).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct(covered)).cast("long").alias("n_repeat_words"),
     )
@@ -124,10 +124,9 @@ def quality_verdicts(docs: DataFrame, given: list[Rule] | None = None, sample_by
 
     base_failed: fewer than 50 words, or more than half of them in repeated 3-word windows. kept: neither that, nor a rule rejects.
     """
-    texts = _texts(docs)
-    ordered = [rule for rule, _, _ in order_rules(texts, given if given is not None else rules(), sample_bytes)]
+    ordered = [rule for rule, _, _ in order_rules(docs, given if given is not None else rules(), sample_bytes)]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return _with_statistics(texts).withColumn("base_failed", failed).select(
+    return statistics(docs).withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered)).alias("kept"),
     )
