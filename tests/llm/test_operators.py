@@ -21,16 +21,22 @@ from loomdoc.llm.context_tree import context_tree_scores
 from loomdoc.llm.decontamination import contained_items, decontaminated
 from loomdoc.llm.encoders import encoder
 from loomdoc.llm.jaccard_join import Limits, jaccard_components, one_of_each
-from loomdoc.llm.packing import pack_documents, shortest_pack_first
-from loomdoc.llm.quality_rules import cascade, order_rules, quality_verdicts, rules
+from loomdoc.llm.packing import pack_documents, refilled, shortest_pack_first
+from loomdoc.llm.quality_rules import cascade, order_rules, quality_verdicts, rules, statistics
 from loomdoc.llm.substring_dedup import FMIndex, substring_dedup
 from loomdoc.llm.token_counts import spliced, token_counts
 from loomdoc.llm.token_files import Shard, open_tokens, write_tokens
-from loomdoc.llm.toxicity import toxicity_scores
+from loomdoc.llm.toxicity import LabelModel, Voters, fit_label_model, parents, toxicity_scores
 
 SCHEMA = "doc_id long, text string, g int, b string, node long, row int, n int, score double, rank int, blob binary, tie long"
 
 
+def long_text(seed=5, n=15_000):
+    """A text of some 100 kB, with a toxic word at its end, and no other word twice in a window."""
+    r = random.Random(seed)
+    return " ".join(f"l{r.randrange(90_000)}" for _ in range(n)) + " idiot"
+
+
 def low(text):
     return bytes(x + 32 if 65 <= x <= 90 else x for x in (text or "").encode())
 
@@ -98,8 +104,12 @@ def test_fm_index_matches_naive_search():
             assert hi[e] - lo[e] == starts(asked[e - k + 1 : e + 1])
 
 
-@pytest.mark.parametrize("size", [13, 5])
-def test_substring_dedup(spark, rows, size):
+@pytest.mark.parametrize(("size", "groups", "hot"), [(13, 32, 4096), (5, 2, 4096), (13, 3, 2), (5, 32, 1)])
+def test_substring_dedup(spark, monkeypatch, size, groups, hot):
+    monkeypatch.setattr("loomdoc.llm.substring_dedup.group_count", lambda _: groups)
+    monkeypatch.setattr("loomdoc.llm.substring_dedup.HOT", hot)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = texts() + [(2000 + i, f"a{i} {passage} {passage if i % 3 else ''} b{i % 4}") for i in range(120)]  # one passage in many
     got = sorted(map(tuple, substring_dedup(table(spark, rows), size, with_text=True).collect()), key=repr)
     first = {}
     for i, t in rows:
@@ -121,9 +131,25 @@ def test_substring_dedup(spark, rows, size):
     assert [x[:4] for x in got] == sorted(want, key=repr) and sum(x[2] for x in want) > 100
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (3, 50)])
-def test_jaccard_components(spark, rows, size, percent):
-    got = sorted(map(tuple, jaccard_components(table(spark, rows), size, percent).collect()), key=repr)
+def cluster():
+    """90 near copies of one text, some at the edge of the limit, and as many texts that share a passage and no more."""
+    r = random.Random(6)
+    base, passage = [f"b{i}" for i in range(140)], [f"p{i}" for i in range(25)]
+    out = []
+    for _ in range(90):
+        near = list(base)
+        for _ in range(r.randint(0, 5)):
+            near[r.randrange(140)] = f"e{r.randrange(9999)}"
+        out.append(" ".join(near[: r.choice([140, 140, 139, 130])]))
+    out += [" ".join([f"q{r.randrange(999)}" for _ in range(40)] + passage) for _ in range(90)]
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize(("size", "percent", "groups", "given"), [(3, 90, 32, texts), (5, 80, 2, texts), (3, 50, 2, texts), (3, 90, 1, cluster), (5, 80, 3, cluster)])
+def test_jaccard_components(spark, monkeypatch, size, percent, groups, given):
+    monkeypatch.setattr("loomdoc.llm.jaccard_join.group_count", lambda _: groups)
+    rows = given()
+    got = sorted(map(tuple, jaccard_components(table(spark, rows), size, percent, whole_prefix=groups == 3).collect()), key=repr)
     sets = []
     for _, t in rows:
         w = low(t).split()
@@ -202,19 +228,15 @@ def test_context_tree(spark):
         total = 0.0
         for context, y in symbols(t):
             for bit in range(8):
-                p = seen = None
-                for d in range(depth, -1, -1):
-                    node = (context[:d], y >> (8 - bit), bit)
-                    a = count[(*node, 0)], count[(*node, 1)]
-                    own = (a[(y >> (7 - bit)) & 1] + 0.5) / (sum(a) + 1)
-                    if p is None or not seen:
-                        p = own
-                    else:
-                        pe, w = weigh(node)
-                        stop = math.exp(math.log(0.5) + pe - w)
-                        p = stop * own + (1 - stop) * p
-                    seen = sum(a) > 0
-                total += math.log10(p)
+                # Pw with the bit after all training bits, over Pw without
+                nodes = [(context[:d], y >> (8 - bit), bit) for d in range(depth + 1)]
+                before = weigh(nodes[0])[1]
+                for node in nodes:
+                    count[(*node, (y >> (7 - bit)) & 1)] += 1
+                kids.update({a: kids[a] | {b} for a, b in zip(nodes, nodes[1:])})
+                total += (weigh(nodes[0])[1] - before) / math.log(10)
+                for node in nodes:
+                    count[(*node, (y >> (7 - bit)) & 1)] -= 1
         r = got[i][0]
         assert abs(r["score"] - total) < 1e-4
         assert r["n_tokens"] == len(ws) and r["train_tokens"] == n and r["held_out"] != teach
@@ -250,6 +272,60 @@ def test_toxicity(spark):
     assert toxicity_scores(table(spark, []), known).count() == 0
 
 
+def test_label_model_against_brute_force():
+    """A round of expectation maximisation, row by row and voter by voter; and parents against all trees' weights."""
+    r = np.random.default_rng(4)
+    votes, n = r.integers(0, 2, (40, 4)).astype(float), r.integers(1, 5, 40).astype(float)
+    model = LabelModel(0.3, np.array([-1, 0, 1, 0]), r.uniform(0.05, 0.95, (4, 2, 2)))
+    model.rates[0, :, 1] = model.rates[0, :, 0]
+    joint = np.zeros((40, 2))
+    model.silent = 0.05
+    for i, v in enumerate(votes):
+        for y in (0, 1):
+            joint[i, y] = (1 - 0.3, 0.3)[y]
+            for k in range(4):
+                rate = model.rates[k, y, int(v[model.parent[k]]) if model.parent[k] >= 0 else 0]
+                joint[i, y] *= rate if v[k] else 1  # the silent abstain
+        if not v.any():
+            joint[i] = 0.95, 0.05
+    p = joint / joint.sum(1, keepdims=True)
+    assert np.allclose(model.posterior(votes), p[:, 1])
+    new = model.maximised(model.expected(votes, n))
+    for k, y, a in itertools.product(range(4), (0, 1), (0, 1)):
+        w = n * p[:, y]
+        own = ((w * votes[:, k]).sum() + 0.5) / (w.sum() + 1)
+        of = votes[:, model.parent[k]] == a if model.parent[k] >= 0 else np.full(40, a == 0)
+        assert np.isclose(new.rates[k, y, a], ((w * votes[:, k])[of].sum() + 2 * own) / (w[of].sum() + 2))
+    # two voters that nearly always go together in both classes are tied, one that goes its own way is not
+    a, b = r.random(4000) < 0.3, r.random(4000) < 0.4
+    v = np.stack([a, b, np.where(r.random(4000) < 0.05, ~a, a)], 1).astype(float)
+    half = np.arange(4000) % 2 == 0
+    found = parents(np.stack([v[half].T @ v[half], v[~half].T @ v[~half]]), np.array([2000.0, 2000.0]))
+    assert {frozenset((i, int(j))) for i, j in enumerate(found) if j >= 0} == {frozenset((0, 2))}
+
+
+def test_label_model_learns_from_unlabelled_votes(spark):
+    """A planted model whose voters abstain whatever the class, two of them copies: nearly as good as its true rates, from votes alone."""
+    r = np.random.default_rng(9)
+    toxic = r.random(6000) < 0.3
+    right, votes = np.array([0.9, 0.85, 0.8, 0.9, 0.75]), []
+    for x in right:
+        spoken, truth = r.random(6000) < 0.6, r.random(6000) < x
+        votes += [spoken & (truth == toxic), spoken & (truth != toxic)]  # for toxic, for clean
+    votes.append(votes[0] ^ (r.random(6000) < 0.01))
+    votes = np.stack(votes, 1)
+    speaks = np.array([True, False] * 5 + [True])
+    rates = np.array([[(0.6 * (1 - x), 0.6 * x), (0.6 * x, 0.6 * (1 - x))] for x in right]).reshape(10, 2)
+    rates = np.concatenate([rates, rates[:1]])
+    rough = np.clip(rates * np.where(rates > 0.3, 0.85, 1.5), 0.01, 0.9)
+    rows = collections.Counter(x.tobytes() for x in np.packbits(votes, axis=1))
+    model = fit_label_model(spark.createDataFrame(list(rows.items()), "votes binary, n long"), Voters(np.arange(11, dtype=np.uint64), speaks, rough), 0.3, rounds=15)
+    odds = np.log(0.3 / 0.7) + votes[:, :10] @ np.log(rates[:10, 1] / rates[:10, 0])
+    best = ((odds > 0) == toxic).mean()
+    assert ((model.posterior(votes.astype(float)) > 0.5) == toxic).mean() > best - 0.02 > 0.85
+    assert 10 in model.parent[:1] or model.parent[10] == 0
+
+
 def test_decontamination(spark, rows):
     r = random.Random(8)
     long = [f"v{r.randrange(3000)}" for _ in range(6000)]
@@ -287,6 +363,32 @@ def test_shortest_pack_first():
     assert sum(100 - sum(p) for p, n in packs for _ in range(n)) < 0.03 * sum(k * v for k, v in histogram.items())
 
 
+@pytest.mark.parametrize("histogram", [{600: 5000}, {600: 5000, 30: 10, 1000: 300}, {700: 401, 341: 777, 5: 20}, {1024: 7, 513: 1}, {520: 2, 100: 1}])
+def test_holes_are_filled_by_cutting(histogram):
+    packs = shortest_pack_first(dict(histogram), 1024)
+    patterns, plans = refilled(packs, 1024)
+    slots = collections.Counter()
+    for pattern, n in patterns:
+        assert sum(m for _, m in pattern) <= 1024 and n > 0
+        for slot in pattern:
+            slots[slot] += n
+    for length, n in histogram.items():
+        cut = plans.get(length, [])
+        assert slots.pop((-length, length), 0) == n - sum(k for k, _ in cut)
+        for k, parts in cut:
+            assert sum(m for *_, m in parts) == length
+            for key, first, m in parts:
+                assert first + k <= sum(x for (a, _), x in slots.items() if a == key)
+    parts = collections.Counter()
+    for found in plans.values():
+        for k, own in found:
+            for key, _, m in own:
+                parts[key, m] += k
+    assert parts == slots  # each part has a slot of its own, and each slot a part
+    total, n = sum(k * v for k, v in histogram.items()), sum(n for _, n in patterns)
+    assert n <= sum(n for _, n in packs) and (total < 10_000 or 1024 * n < 1.05 * total)
+
+
 def ids_of(text):
     return np.array([*T.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
@@ -295,9 +397,32 @@ T = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 ODD = [(900, "x <|endoftext|> y"), (901, "a \nb\n c  d "), (902, "emoji 😀 ok"), (903, " lead"), (904, "word " * 3000)]
 
 
+def test_packing_of_one_hot_length(spark):
+    """Documents of 600 ids, one of them twice: no id is lost, each part has its own crc, and there is little padding."""
+    word = next(w for w in (" the", " a") if len(ids_of(w)) == 2)
+    docs = [(i, word * 590 + f" {i % 10}" * (9 - (len(str(i % 10)) > 1))) for i in range(60)] + [(3, word * 590 + " 3" * 9), (None, None)]
+    got = pack_documents(table(spark, docs), "byte_bpe_50k.json").collect()
+    whole, by = {i: ids_of(t) for i, t in docs}, collections.defaultdict(list)
+    for x in got:
+        assert x["ids_crc32"] == zlib.crc32(whole[x["doc_id"]][x["start"] : x["start"] + x["length"]].tobytes()) and x["doc_tokens"] == len(whole[x["doc_id"]])
+        by[x["doc_id"]].append((x["start"], x["length"]))
+    total = sum(len(ids_of(t)) for _, t in docs)
+    assert sum(x["length"] for x in got) == total and len(by[3]) >= 2 and max(map(len, by.values())) > 1
+    for i, found in by.items():
+        covered = collections.Counter(j for a, n in found for j in range(a, a + n))
+        assert set(covered) == set(range(len(whole[i]))) and set(covered.values()) == {2 if i == 3 else 1}
+    sequences = collections.defaultdict(list)
+    for x in got:
+        sequences[x["sequence_id"]].append((x["offset"], x["length"]))
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [a for a, _ in pieces] == [0, *np.cumsum([n for _, n in pieces])[:-1]] and sum(n for _, n in pieces) <= 1024
+    assert len(sequences) * 1024 < 1.06 * total
+
+
 def test_packing(spark, rows):
     docs = rows + ODD
-    got = pack_documents(table(spark, docs), "byte_bpe_50k.json", size=64).collect()
+    got = pack_documents(table(spark, docs), "byte_bpe_50k.json", size=64, most_padding=1.0).collect()
     whole = collections.Counter((i, zlib.crc32(ids_of(t)[a : a + 64].tobytes()), a, len(ids_of(t))) for i, t in docs for a in range(0, len(ids_of(t)), 64))
     assert collections.Counter((x["doc_id"], x["ids_crc32"], x["start"], x["doc_tokens"]) for x in got) == whole
     sequences = collections.defaultdict(list)
@@ -319,12 +444,26 @@ def test_token_counts(spark, rows, name):
     assert all(x["over_limit"] == (x["n_tokens"] > 50) for x in got)
     for _, t in docs:
         if t and len(t) > 60:
-            assert list(spliced(model, t, 60, 6)) == list(model.ids([t])[0])
+            assert list(spliced(model, t, 60, 6)[0]) == list(model.ids([t])[0])
+    if name != "word_bpe_49k.json":  # that one lower-cases and drops white space
+        long = {i: x["n_splices"] for x in got if (i := x["doc_id"]) is not None and len(dict(docs)[i] or "") > 300 and i < 900}
+        assert len(long) > 30 and all(long.values())
     if name.endswith(".model"):
         plain = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
         assert all(list(plain.encode(t or "")) == list(model.ids([t or ""])[0]) for _, t in docs)
 
 
+def test_long_documents_are_spliced():
+    import duckdb
+
+    model = encoder("piece_bpe_32k.model")
+    found = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where length(text) > 4096").fetchall()
+    for (t,) in found:
+        ids, n = spliced(model, t, 4096, 256)
+        assert list(ids) == list(model.ids([t])[0]) and n >= len(t) // 4096 - 1 and (n > 0)
+    assert len(found) > 100
+
+
 def test_memoised_ids(rows):
     model = encoder("byte_bpe_50k.json")
     given = [t or "" for _, t in rows + ODD] + ["nb sp a", "a\r\nb c", "Ġ x ▁y Ġ Ġ", "don't we'll 123 45,6 --- a", "a\x1c b", "a \u00a0b", "end \n", "\n\n x\t y \r\n", " ", "  two", "tab\tq \t r", "é è\u2003z"]
@@ -422,12 +561,38 @@ def test_quality(spark, rows):
 
 
 def test_cascade_order_changes_no_verdict(spark):
-    from pyspark.sql import functions as F
-
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["A B C", "a# b#", "fine words here", "x!! y!!"])], "doc_id long, text string").withColumn("words", F.split("text", " "))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["A B C", "a# b#", "fine words here", "x!! y!!"])], "doc_id long, text string")
+    held = statistics(docs)
     found = order_rules(docs, rules())
     assert sorted(x.name for x, _, _ in found) == sorted(x.name for x in rules())
     shares = [s / t for _, t, s in found]
     assert shares == sorted(shares, reverse=True)
     orders = [rules(), rules()[::-1], [x for x, _, _ in found]]
-    assert len({tuple(r[0] for r in docs.orderBy("doc_id").select(cascade(o)).collect()) for o in orders}) == 1
+    assert len({tuple(r[0] for r in held.orderBy("doc_id").select(cascade(o)).collect()) for o in orders}) == 1
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts of 100 kB, one of them a copy, through the operators that cut their work into slabs of bytes."""
+    monkeypatch.setattr("loomdoc.llm.context_tree.SLAB", 1000)
+    monkeypatch.setattr("loomdoc.llm.toxicity.SLAB", 1000)
+    one, two = long_text(), long_text(6)
+    docs = table(spark, [(1, one), (2, one), (3, two), (4, one.replace("l1", "m1", 3)), (5, "short text"), (6, None)])
+    cut = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substring_dedup(docs, 13, with_text=False).collect()}
+    assert cut[1] == (15001, 0) and cut[2] == (15001, 15001) and cut[3][1] == 0 and 14900 < cut[4][1] < 15001
+    linked = {x["doc_id"]: x["component_id"] for x in jaccard_components(docs).collect()}
+    assert linked == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
+    scored = {x["doc_id"]: x for x in context_tree_scores(docs, lambda i: i != 3, 3).collect()}
+    assert scored[1]["score"] == scored[2]["score"] and scored[1]["n_tokens"] == 15002 and 0 < scored[3]["bits_per_byte"] < 8
+    toxic = {x["doc_id"]: x["predicted"] for x in toxicity_scores(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()}
+    assert toxic == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0}
+    good = {x["doc_id"]: x for x in quality_verdicts(docs).collect()}
+    assert good[1]["n_words"] == 15001 and good[1]["n_repeat_words"] == 0 and good[1]["kept"]
+    chats = spark.createDataFrame([(1, 0, "user", one + "</s>"), (1, 1, "assistant", two)], "conv_id long, turn long, role string, text string")
+    assert [t["text"] for t in read_chats(format_chats(chats)).first()["turns"]] == [one + "</s>", two]
+
+
+def test_decontamination_keeps_null_ids_apart(spark):
+    docs = table(spark, [(None, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "no such words here at all")])
+    items = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (8, None)], "item_id long, text string")
+    assert sorted(map(tuple, contained_items(docs, items).select("doc_id", "item_id").collect()), key=repr) == [(1, 7), (None, 7)]
+    assert [x["doc_id"] for x in decontaminated(docs, items).collect()] == [2]

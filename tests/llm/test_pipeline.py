@@ -65,3 +65,18 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 50
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Empty tables; columns whose names the operators use; repeated rows and ids."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, g int, node long, votes binary, salt long, kind int"
+    labels, items = "doc_id long, quality int, toxic int", "item_id long, text string"
+    words = [f"w{i}" for i in range(90)]
+    rows = [(1, " ".join(words), "en", "s", 1), (1, " ".join(words), "en", "s", 1), (1, "another text of the same id", "en", "s", 2), (2, " ".join(words[::-1]), None, None, None), (None, None, None, None, None)]
+    for name, given in (("none", []), ("odd", [(*r, 1, 2, b"x", 3, 4) for r in rows])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(given, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], labels).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], items).write.parquet(f"{folder}/benchmark.parquet")
+        got = [x["doc_id"] for x in corpus_pipeline.run(spark, folder).collect()]
+        assert sorted(got, key=repr) == ([] if name == "none" else [1, 1, 1, 2, None])
