@@ -118,11 +118,10 @@ SELECT doc_id, item_id, n_shared::BIGINT AS n_shared, n_shingles::BIGINT AS n_sh
     "op9_chat_formatting": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, length(regexp_replace(text, '([<\[])(~*)(/?(?:s>|SYS>>|INST\]))', '\1~\2\3', 'g')) AS n,
-  regexp_matches(text, '[<\[]~+/?(?:s>|SYS>>|INST\])') OR contains(text, '</s>') AS clash FROM c)
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(~*)(/?(?:s>|SYS>>|INST\]))', '\1~\2\3', 'g')) + length(regexp_replace(role, '([<\[])(~*)(/?(?:s>|SYS>>|INST\]))', '\1~\2\3', 'g')) AS n FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(8 + length(role) + CASE WHEN clash THEN n ELSE length(text) END)::BIGINT AS formatted_chars
+  sum(8 + n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
     "op10_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
