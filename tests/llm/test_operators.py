@@ -192,9 +192,9 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_context_tree(spark):
+@pytest.mark.parametrize("depth", [3, 6])
+def test_context_tree(spark, depth):
     given = [(1, "Hello there"), (2, "the cat sat"), (3, ""), (4, None), (5, "thé CAT sat"), (6, "hello hello"), (None, "zzz"), (6, "hello hello")]
-    depth = 3
     got = collections.defaultdict(list)
     for r in context_tree_scores(table(spark, given), lambda i: i % 2 == 1, depth).collect():
         got[r["doc_id"]].append(r)
@@ -596,3 +596,37 @@ def test_decontamination_keeps_null_ids_apart(spark):
     items = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (8, None)], "item_id long, text string")
     assert sorted(map(tuple, contained_items(docs, items).select("doc_id", "item_id").collect()), key=repr) == [(1, 7), (None, 7)]
     assert [x["doc_id"] for x in decontaminated(docs, items).collect()] == [2]
+
+
+def test_token_queries_against_the_library(spark, sf):
+    """op6, op7 and op8 over a whole table, and op2's columns about words."""
+    from loomdoc.llm.queries import QUERIES
+
+    docs = sorted(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
+    whole, at = {i: ids_of(t) for i, t in docs}, 0
+    files = {x["doc_id"]: x for x in QUERIES["op8_token_files"](spark, sf).collect()}
+    for i, _ in docs:
+        assert (files[i]["start"], files[i]["n_tokens"], files[i]["ids_crc32"]) == (at, len(whole[i]), zlib.crc32(whole[i].tobytes()))
+        at += len(whole[i])
+    pieces, sequences = collections.defaultdict(list), collections.Counter()
+    for x in QUERIES["op6_packing"](spark, sf).collect():
+        assert x["ids_crc32"] == zlib.crc32(whole[x["doc_id"]][x["start"] : x["start"] + x["length"]].tobytes()) and x["doc_tokens"] == len(whole[x["doc_id"]])
+        pieces[x["doc_id"]].append((x["start"], x["length"]))
+        sequences[x["sequence_id"]] += x["length"]
+    for i, _ in docs:
+        ends = sorted(pieces[i])
+        assert [a for a, _ in ends] == [0, *np.cumsum([n for _, n in ends])[:-1]] and sum(n for _, n in ends) == len(whole[i])
+    assert max(sequences.values()) <= 1024 and sum(sequences.values()) == at
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    counted = {x["doc_id"]: (x["n_bytes"], x["n_tokens"], x["over_limit"]) for x in QUERIES["op7_token_counts"](spark, sf).collect()}
+    for i, t in docs:
+        n = len(model.encode(t or ""))
+        assert counted[i] == (len((t or "").encode()), n, n > 4096)
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}
+    tokens = {i: [*low(t).split(), "end"] for i, t in docs}
+    c = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for x in QUERIES["op2_lm_scoring"](spark, sf).collect():
+        ws = tokens[x["doc_id"]]
+        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (held[x["doc_id"]], len(ws), sum(c[w] > 0 for w in ws), n)
+        assert abs(x["base_score"] - sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) < 1e-6 * len(ws) and x["score"] < 0
