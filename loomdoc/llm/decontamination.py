@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.blocks import Words, gram_hashes, slabs_of
+from loomdoc.llm.blocks import Words, gram_hashes, lean, slabs_of
 from loomdoc.session import written
 
 SCHEMA = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
@@ -121,7 +121,7 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
                     total = block.total[item]
                     yield pa.RecordBatch.from_arrays([frame.column(0)[a:b].take(pa.array(row)), pa.array(block.ids[item]), pa.array(n), pa.array(total), pa.array(n / np.maximum(total, 1))], ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
 
-        return plain.mapInArrow(search, SCHEMA)
+        return plain.mapInArrow(lean(search), SCHEMA)
 
     found, left = [], _blocks(items, block_bytes)
     block = next(left, None)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.llm.blocks import NO_ID, Words, gram_hashes, group_count, grouped, ids_of, mix, ordered, pack, rows_of, spans, split_by, unpack
 from loomdoc.llm.components import components
-from loomdoc.session import written
+from loomdoc.session import file_count, written
 
 MOST_WORDS = 256  # of a bitmap, 64 bits each
 
@@ -197,6 +197,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, whole_
     """
     limits = Limits(percent, whole_prefix)
     groups = buckets = group_count(docs)
+    files = file_count(docs)
     base = grouped(docs, groups)
 
     def prepare(table: pa.Table) -> pa.Table:
@@ -299,21 +300,21 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, whole_
         sent = base.groupBy("g").cogroup(needed.groupBy("g")).applyInArrow(sets, "p int, node long, blob binary")
         return placed.select("p", "node_a", "node_b").groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(verify, "node_a long, node_b long, good boolean")
 
-    prepared = written(base.groupBy("g").applyInArrow(prepare, "kind int, g int, row int, doc_id long, n long, node long, b int, blob binary"), "sets", "kind")
+    prepared = written(base.groupBy("g").applyInArrow(prepare, "kind int, g int, row int, doc_id long, n long, node long, b int, blob binary"), "sets", "kind", files=files)
     node_rows = prepared.where(F.col("kind") == NODE).select("doc_id", "n", "node")
-    lists = written(prepared.where(F.col("kind") == KEY).select("b", "g", "blob").groupBy("b").applyInArrow(listed, "g int, b int, blob binary, node_a long, node_b long"), "lists")
+    lists = written(prepared.where(F.col("kind") == KEY).select("b", "g", "blob").groupBy("b").applyInArrow(listed, "g int, b int, blob binary, node_a long, node_b long"), "lists", files=files)
     certain = lists.where("g is null").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     asked = lists.where("g is not null").select("g", "b", "blob")
-    mapped = written(prepared.where(F.col("kind") == MAP).select("g", "blob").groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(maps, bucketed), "bitmaps")
-    first = written(mapped.groupBy("b").applyInArrow(lambda t: named(t, None), _NAMED), "pairs")
-    proven = written(verified(first), "verified")
+    mapped = written(prepared.where(F.col("kind") == MAP).select("g", "blob").groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(maps, bucketed), "bitmaps", files=files)
+    first = written(mapped.groupBy("b").applyInArrow(lambda t: named(t, None), _NAMED), "pairs", files=files)
+    proven = written(verified(first), "verified", files=files)
     links = [certain, proven.where("good").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))]
     failed = proven.where("not good").join(first, ["node_a", "node_b"]).select("bucket").distinct()
     if failed.limit(1).count():
         again = mapped.join(failed, mapped["b"] == failed["bucket"], "left_semi")
         tried = first.join(proven, ["node_a", "node_b"]).join(failed, "bucket", "left_semi").select(F.col("bucket").alias("b"), "node_a", "node_b", "good")
-        rest = written(again.groupBy("b").cogroup(tried.groupBy("b")).applyInArrow(named, _NAMED), "pairs")
-        links.append(verified(rest).where("good").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+        rest = written(again.groupBy("b").cogroup(tried.groupBy("b")).applyInArrow(named, _NAMED), "pairs", files=files)
+        links.append(written(verified(rest), "verified", files=files).where("good").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     edges = links[0].union(links[1])
     for more in links[2:]:
         edges = edges.union(more)

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.llm.blocks import slabs_of, spans
+from loomdoc.llm.blocks import lean, slabs_of, spans
 from loomdoc.llm.encoders import encoder
-from loomdoc.session import plan_bytes, written
+from loomdoc.session import file_count, plan_bytes, written
 
 PIECE = "doc_id long, tie long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -140,7 +140,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataF
                 yield pa.RecordBatch.from_arrays([frame.column(0).take(rows), frame.column(2).take(rows), *[pa.array(x, pa.int64()) for x in (start, length, crc, total[row])]], ["doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens"])
 
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return plain.withColumn("tie", F.xxhash64("text")).mapInArrow(cut, PIECE)
+    return plain.withColumn("tie", F.xxhash64("text")).mapInArrow(lean(cut), PIECE)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, most_padding: float = 0.01) -> DataFrame:
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: i
 
     vocabulary: a .json or .model file, by path or name. start, offset, length: in ids, of the document and of the sequence.
     """
-    pieces = written(pieces_of(docs, vocabulary, size, end_id), "pieces")
+    pieces = written(pieces_of(docs, vocabulary, size, end_id), "pieces", files=file_count(docs))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     packs, plans = shortest_pack_first(histogram, size), {}
     patterns = [(tuple((-x, x) for x in p), n) for p, n in packs]
@@ -196,7 +196,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: i
     placed = ranked.select("doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(place, out)
     if not plans:
         return placed.drop("tie", "cut")
-    placed = written(placed, "placed")
+    placed = written(placed, "placed", files=file_count(docs))
     return placed.where("not cut").drop("tie", "cut").unionByName(_cut_pieces(docs, placed.where("cut"), vocabulary, end_id))
 
 
@@ -217,4 +217,4 @@ def _cut_pieces(docs: DataFrame, cuts: DataFrame, vocabulary: str, end_id: int)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], [x.split()[0] for x in out.split(", ")])
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return both.mapInArrow(encode, out)
+    return both.mapInArrow(lean(encode), out)

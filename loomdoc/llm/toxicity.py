@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.blocks import Words, slabs_of
-from loomdoc.session import written
+from loomdoc.llm.blocks import Words, lean, slabs_of
+from loomdoc.session import file_count, written
 
 #: Insults that vote without having been learned.
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "asshole", "bastard", "retard", "filthy")
@@ -257,12 +257,12 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Data
     known = docs.sparkSession.createDataFrame([tuple(r) for r in known.collect()], "known_id long, toxic int")
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = plain.join(F.broadcast(known), plain["doc_id"] == known["known_id"]).groupBy(F.xxhash64("text"), F.length("text")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    return written(rows.select("text", "toxic"), "labelled")
+    return written(rows.select("text", "toxic"), "labelled", files=file_count(docs))
 
 
 def choose_voters(rows: DataFrame, n_toxic: int, n_clean: int, least_support: int, least_precision: float, most_voters: int) -> Voters:
     """Voters for either class from labelled texts (text, toxic), by counts of the rows of each class that hold an entry."""
-    count = lambda of, among: of.select("text").mapInArrow(lambda f: _counts(f, among), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    count = lambda of, among: of.select("text").mapInArrow(lean(lambda f: _counts(f, among)), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     found = count(rows.where("toxic = 1"), None).where("n > 1").toArrow().sort_by("entry")  # of the sample's toxic texts
     entry, n = found["entry"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(entry)
@@ -298,7 +298,7 @@ def _voted(voters: Voters, plain: DataFrame, keep: list[str]) -> DataFrame:
                 packed = [x.tobytes() for x in np.packbits(hits > 0, axis=1)]
                 yield pa.RecordBatch.from_arrays([*[frame.column(c)[a:b] for c in keep], pa.array(packed, pa.binary()), pa.array(hits[:, voters.toxic].max(1, initial=0).astype(np.int64)), pa.array(n_words, pa.int64())], [*keep, *VOTED])
 
-    return plain.mapInArrow(vote, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "votes binary, hits long, n_words long"]))
+    return plain.mapInArrow(lean(vote), ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "votes binary, hits long, n_words long"]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple[str, ...] = (), sample_rows: int = 30_000, least_support: int = 6, least_precision: float = 0.85, most_voters: int = 256) -> DataFrame:
@@ -313,8 +313,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     k = len(voters.entries)
     named = {c: f"__{i}" for i, c in enumerate(keep)}  # so that no column of keep clashes with votes, hits or n_words
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].alias(x) for c, x in named.items()])
-    voted = written(_voted(voters, plain, ["doc_id", *named.values()]), "votes")
-    patterns = written(voted.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
+    files = file_count(docs)
+    voted = written(_voted(voters, plain, ["doc_id", *named.values()]), "votes", files=files)
+    patterns = written(voted.groupBy("votes").agg(F.count("*").alias("n")), "patterns", files=files)
     model = fit_label_model(patterns, voters, share)
     # at most sample_rows rows of a bit for each voter
     table = _voted(voters, rows, []).toArrow().sort_by([(c, "ascending") for c in VOTED]).combine_chunks()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.session import written
+from loomdoc.session import file_count, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,14 +31,14 @@ def _pointed(edges: DataFrame, both: bool) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each node of edges (a long, b long): the least node that it is joined with. By alternating stars."""
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges", files=file_count(edges))
     before = None
     for _ in range(rounds):
         state = _state(now)
         if state == before or not state[0]:
             break
         before = state
-        now = written(_pointed(_pointed(now, True), False), "edges")
+        now = written(_pointed(_pointed(now, True), False), "edges", files=file_count(now))  # a round makes no more edges than it gets
     else:
         raise RuntimeError("components did not settle")
     pointed = now.groupBy("a").agg(F.min("b").alias("b"))

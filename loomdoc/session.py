@@ -57,9 +57,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, label: str, *by: str) -> DataFrame:
-    """Write df as Parquet to the shared folder, in folders by columns, and read it back: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, label: str, *by: str, files: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder, in folders by columns, and read it back: cuts the lineage and survives lost executors.
+
+    files: at most so many are written, however many partitions df has. Hadoop's local file system, where its native library is
+    missing, starts a process from the executor's JVM for each file and folder that it makes.
+    """
     path = new_folder(df.sparkSession, label)
+    df = df.coalesce(files) if files else df
     schema = df.schema
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
@@ -68,3 +73,8 @@ def written(df: DataFrame, label: str, *by: str) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes below df: file sizes for tables, so it follows the input without a scan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def file_count(df: DataFrame, file_bytes: int = 4 << 20, most: int = 1 << 20) -> int:
+    """Files for a table of no more bytes than df has: one for each file_bytes, but two for each core and 8 at least."""
+    return max(8, 2 * df.sparkSession.sparkContext.defaultParallelism, min(most, plan_bytes(df) // file_bytes))

@@ -80,3 +80,47 @@ def test_run_on_odd_tables(spark, tmp_path):
         spark.createDataFrame([], items).write.parquet(f"{folder}/benchmark.parquet")
         got = [x["doc_id"] for x in corpus_pipeline.run(spark, folder).collect()]
         assert sorted(got, key=repr) == ([] if name == "none" else [1, 1, 1, 2, None])
+
+
+def test_files_follow_the_table(spark, folder, monkeypatch):
+    """However many shuffle partitions there are, a small table is written to few files: each costs a process on some file systems."""
+    from collections import Counter
+    from pathlib import Path
+
+    from loomdoc import session
+
+    paths, fresh = [], session.new_folder
+    monkeypatch.setattr(session, "new_folder", lambda *a: paths.append(fresh(*a)) or paths[-1])
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        assert corpus_pipeline.run(spark, folder).count() > 50
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = Counter(x.parent for path in paths for x in Path(path.removeprefix("file:")).rglob("part-*.parquet"))
+    assert len(files) > 12 and max(files.values()) <= 8, files
+
+
+def test_workers_give_memory_back():
+    """A worker is kept for later stages: what a batch's work has freed isn't held on until then."""
+    from pathlib import Path
+
+    from loomdoc.llm.blocks import lean
+
+    held = lambda: int(Path("/proc/self/status").read_text().split("RssAnon:")[1].split()[0]) // 1024
+    pins, seen = [], []
+
+    def work(frames):
+        for frame in frames:
+            parts = [b"x" * 50_000 for _ in range(4000)]  # 200 MB in pieces, with one that stays
+            pins.append(b"x" * 50_000)
+            yield frame
+            del parts
+
+    before = held()
+    for _ in lean(work)(iter([1, 2])):
+        seen.append(held() - before)
+    assert max(seen) > 150 and held() - before < 50
