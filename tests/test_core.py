@@ -154,6 +154,22 @@ def test_folders_of_the_whole_table(spark, sf):
     assert QUERIES["folder_base_names"](spark, sf).count() == len(held)
 
 
+def test_folders_write_little(spark, sf):
+    """What meets is left out before it is written: pairs that lie in each other, and few besides. Unread files count for nothing."""
+    sets = {f"f{i}": {0, *range(1 + 3 * i, 4 + 3 * i)} for i in range(300)}  # one hash in all folders, the others in none but one
+    sets |= {f"g{i}": {i % 50, 60 + i % 7, 70 + i % 11, 90 + i % 13} for i in range(900)} | {f"s{i}": {i % 50} for i in range(60)}
+    rows = [(f, h) for f, hs in sets.items() for h in hs] + [("f1", None), ("none", None)]
+    kept, put = [], dedupe.written
+    dedupe.written = lambda df, label, *by, **more: kept.append((label, put(df, label, *by, **more))) or kept[-1][1]
+    try:
+        got = [tuple(x) for x in dedupe.folder_relations(spark.createDataFrame(rows, "folder string, hash long")).select("relation", "folder_a", "folder_b").collect()]
+    finally:
+        dedupe.written = put
+    want = {("identical" if s == t else "a_in_b", a, b) for a, s in sets.items() for b, t in sets.items() if (s == t and a < b) or s < t}
+    assert len(got) == len(set(got)) and set(got) == want and {r for r, _, _ in want} == {"identical", "a_in_b"}
+    assert [x for x, _ in kept] == ["folders", "met"] and kept[0][1].count() == len(sets) and kept[1][1].count() < 1.2 * len(want)
+
+
 def test_undo_chain(spark):
     log = spark.createDataFrame([(1, "a", "b", "m"), (2, "b", "c", "m"), (3, "p", "q", "m"), (4, "s", "s", "m"), (5, "t", "u", "m")], "seq long, alt string, neu string, aktion string")
     exists = spark.createDataFrame([("c",), ("t",), ("u",)], "path string")
