@@ -47,8 +47,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits has a valid check digit."""
-    each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.try_to_number(c, F.lit("9")).cast("int") * (1 + i % 2))
-    return F.aggregate(each, F.lit(0), lambda s, d: s + F.coalesce(F.when(d > 9, d - 9).otherwise(d), F.lit(0))) % 10 == 0
+    each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.greatest(F.call_function("instr", F.lit("0123456789"), c) - 1, F.lit(0)) * (1 + i % 2))
+    return F.aggregate(each, F.lit(0), lambda s, d: s + F.when(d > 9, d - 9).otherwise(d)) % 10 == 0
 
 
 def redact_cards(text: Column) -> Column:
@@ -73,20 +73,19 @@ def redact(text: Column, mended_phone: bool = False) -> Column:
 
 def collapse_letter_spacing(text: Column) -> Column:
     """Runs of three or more marks with single blanks between them, without the blanks."""
-    return F.regexp_replace(text, r"(?U)(?<=\S) (?=\S \S)|(?<=\S \S) (?=\S)", "")
+    return F.regexp_replace(text, r"(?U) (?:(?<=\S )(?=\S \S)|(?<=\S \S )(?=\S))", "")
 
 
 def is_garbled(text: Column) -> Column:
     """20 tokens or more, and over 35 % of them of one or two characters."""
-    tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
-    short = F.size(F.filter(tokens, lambda t: F.char_length(t) <= 2))
-    return (F.size(tokens) >= LEAST_TOKENS) & (short / F.nullif(F.size(tokens), F.lit(0)) > SHORT_TOKEN_SHARE)
+    short = lambda tokens: F.size(F.filter(tokens, lambda t: F.char_length(t) <= 2))
+    return let(F.array_remove(F.split(text, r"(?U)\s+"), ""), lambda t: (F.size(t) >= LEAST_TOKENS) & (short(t) / F.nullif(F.size(t), F.lit(0)) > SHORT_TOKEN_SHARE))
 
 
 def find_date(text: Column) -> Column:
     """The first ISO date anywhere, else the first D.M.Y, as YYYY-MM-DD; not validated."""
-    part = lambda i: F.regexp_extract(text, DMY_DATE, i)
-    dmy = F.when(part(3) != "", F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")))
+    parts = F.split(F.regexp_extract(text, DMY_DATE, 0), r"\.")
+    dmy = let(parts, lambda p: F.when(F.size(p) == 3, F.concat_ws("-", p[2], F.lpad(p[1], 2, "0"), F.lpad(p[0], 2, "0"))))
     return F.coalesce(F.nullif(F.regexp_extract(text, ISO_DATE, 1), F.lit("")), dmy)
 
 

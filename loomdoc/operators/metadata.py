@@ -27,25 +27,31 @@ def types_in(text: Column, types: DataFrame) -> Column:
         table.setdefault((r["ord"], r["code"]), []).append(r["variant"])
     words = sorted({v for vs in table.values() for v in vs if re.fullmatch(r"\w+", v)}, key=lambda v: (-len(v), v))
     whole = lambda v: rf"(?iU)(?<!\w)(?:{v})(?!\w)"
+    none = F.array().cast("array<struct<code:string,term:string,hits:int>>")
+    if not table:
+        return none
     quoted = lambda v: rf"\Q{v}\E"
 
+    def term(m: Column) -> Column:
+        """The term that a match stands for: nearly always its lower case; the others (as with a long s) are told by the patterns."""
+        other = F.coalesce(*[F.when(m.rlike(rf"(?iU)^{quoted(v)}$"), F.lit(v)) for v in words])
+        return F.when(F.lower(m).isin(words), F.lower(m)).otherwise(other)
+
     def ranked(text: Column, found: Column) -> Column:
-        hits = lambda v: F.size(F.filter(found, lambda m: m.rlike(rf"(?iU)^{quoted(v)}$"))) if v in words else F.regexp_count(text, F.lit(whole(quoted(v))))
+        hits = lambda v: F.size(F.filter(found, lambda m: m == v)) if v in words else F.regexp_count(text, F.lit(whole(quoted(v))))
 
         def best(place: int, code: str, variants: list[str]) -> Column:
             one = [F.struct(hits(v).cast("int").alias("hits"), F.lit(-i).alias("i"), F.lit(v).alias("term")) for i, v in enumerate(variants)]
             row = lambda x: F.struct((-x["hits"]).alias("hits"), (-F.char_length(x["term"])).alias("length"), F.lit(place).alias("ord"), F.lit(code).alias("code"), x["term"].alias("term"))
             return T.let(F.array_max(F.array(*one)), row)
 
-        some = F.filter(F.array(*[best(*of, variants) for of, variants in table.items()]), lambda x: x["hits"] < 0)
+        there = lambda variants: F.lit(True) if any(v not in words for v in variants) else F.arrays_overlap(found, F.array(*map(F.lit, variants)))
+        some = F.filter(F.array(*[F.when(there(variants), best(*of, variants)) for of, variants in table.items()]), lambda x: x["hits"] < 0)
         return F.transform(F.array_sort(some), lambda x: F.struct(x["code"].alias("code"), x["term"].alias("term"), (-x["hits"]).alias("hits")))
 
-    none = F.array().cast("array<struct<code:string,term:string,hits:int>>")
-    if not table:
-        return none
     scan = lambda t: F.regexp_extract_all(t, F.lit(whole("|".join(map(quoted, words)))), F.lit(0)) if words else F.array().cast("array<string>")
     alone = any(v not in words for vs in table.values() for v in vs)
-    return T.let(text, lambda t: T.let(scan(t), lambda found: F.when((F.size(found) > 0) | F.lit(alone), ranked(t, found)).otherwise(none)))
+    return T.let(text, lambda t: T.let(F.transform(scan(t), term) if words else scan(t), lambda found: F.when((F.size(found) > 0) | F.lit(alone), ranked(t, found)).otherwise(none)))
 
 
 def document_types_found(texts: DataFrame, types: DataFrame) -> DataFrame:
@@ -65,16 +71,16 @@ def _held(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
-def analyze(texts: DataFrame, types: DataFrame) -> DataFrame:
-    """id, confidence, date, code, term, alternatives, sender, file_name, snippet, warning of texts (id, ext, text).
+def analyze(texts: DataFrame, types: DataFrame, *more: str) -> DataFrame:
+    """id, confidence, date, code, term, alternatives, sender, file_name, snippet, warning of texts (id, ext, text); more: columns kept.
 
     Empty and garbled texts stop with a warning and without a snippet; everything else is read from the redacted text, which is
     made once. A row in, a row out: no shuffle.
     """
-    t = _held(texts.select("id", "ext", F.col("text").alias("raw")), T.collapse_letter_spacing(F.col("raw")).alias("plain"))
+    t = _held(texts.select("id", *{"ext": 0, **dict.fromkeys(more)}, F.col("text").alias("raw")), T.collapse_letter_spacing(F.col("raw")).alias("plain"))
     empty = F.coalesce(F.trim("plain"), F.lit("")) == ""
     stop = F.when(empty, F.lit("empty")).when(T.is_garbled(F.col("plain")), F.lit("garbled"))
-    judged = _held(t.select("id", "ext", "plain"), stop.alias("stop"))
+    judged = _held(t.select("id", *{"ext": 0, **dict.fromkeys(more)}, "plain"), stop.alias("stop"))
     red = _held(judged, F.when(F.col("stop").isNull(), T.redact(F.col("plain"))).alias("text")).drop("plain")
     full = _held(red, T.find_date(F.col("text")).alias("date"), T.sender_hint(F.col("text")).alias("sender"), types_in(F.col("text"), types).alias("types"))
     full = full.withColumn("code", F.get("types", F.lit(0))["code"]).withColumn("term", F.get("types", F.lit(0))["term"]).withColumn("alternatives", F.when(F.size("types") > 0, F.slice("types", F.lit(2), F.size("types"))))
@@ -83,7 +89,7 @@ def analyze(texts: DataFrame, types: DataFrame) -> DataFrame:
     return full.select(
         "id",
         F.when(high, F.lit("high")).otherwise(F.lit("low")).alias("confidence"),
-        "date", "code", "term", "alternatives", "sender",
+        *more, "date", "code", "term", "alternatives", "sender",
         F.when(high, F.concat("date", F.lit("_"), "code", F.lit("_"), T.slug(F.col("sender")), "ext")).alias("file_name"),
         F.when(~high & F.col("stop").isNull(), T.snippet(F.col("text"))).alias("snippet"),
         F.when(F.col("stop").isNotNull(), F.col("stop")).when(high & (F.size("alternatives") > 0), F.concat(F.lit("ambiguous: "), listed)).alias("warning"),

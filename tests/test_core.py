@@ -439,6 +439,14 @@ def test_queries_have_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).limit(1).count() == 1 or name in SPARSE
 
 
+def test_letters_are_dealt_out(spark, sf):
+    """A file of orders that one task reads is work for all cores."""
+    from loomdoc.plans.views import view
+
+    assert spark.read.parquet(f"{sf}/orders.parquet").rdd.getNumPartitions() == 1
+    assert view(spark, sf, "letters_v").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_queries_against_sql(spark, sf):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
