@@ -104,7 +104,7 @@ def analyze_images(images: DataFrame, types: DataFrame) -> DataFrame:
     """
     guarded = images.withColumn("id_document", is_id_document(F.col("path")))
     plain = guarded.where(~F.col("id_document"))
-    done = analyze(plain.select("id", "ext", "text"), types).join(plain.select("id", "ext", "exif_date"), "id")
+    done = analyze(plain, types, "ext", "exif_date")
     date = F.coalesce("date", F.when(F.coalesce("warning", F.lit("")) != "empty", F.col("exif_date")))
     high = date.isNotNull() & F.col("code").isNotNull() & ~F.coalesce("warning", F.lit("")).isin("empty", "garbled")
     name = F.concat(date, F.lit("_"), "code", F.lit("_"), F.when(F.col("sender").isNotNull(), T.slug(F.col("sender"))).otherwise(F.lit("Screenshot")), "ext")

@@ -441,12 +441,18 @@ def test_queries_have_rows(spark, sf, name):
 
 def test_letters_are_dealt_out(spark, sf):
     """A file of orders that one task reads is work for all cores."""
-    from loomdoc.plans.views import view
-
     assert spark.read.parquet(f"{sf}/orders.parquet").rdd.getNumPartitions() == 1
     assert view(spark, sf, "letters_v").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_images_are_read_once(spark):
+    """A row in, a row out, without a join: also where two images have one id."""
+    rows = [(1, "a/1.png", ".png", "Rechnung der Muster GmbH", "2024-03-05"), (1, "a/2.png", ".png", "Vertrag", None), (2, "a/reisepass.png", ".png", "Pass", None)]
+    images = spark.createDataFrame(rows, "id long, path string, ext string, text string, exif_date string")
+    got = sorted((r["id"], r["date"] or "", r["file_name"] or "", r["id_document"]) for r in metadata.analyze_images(images, state.document_types(spark)).collect())
+    assert got == [(1, "", "", False), (1, "2024-03-05", "2024-03-05_RG_Rechnung-der-Muster-GmbH.png", False), (2, "", "", True)]
+
+
 def test_queries_against_sql(spark, sf):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
